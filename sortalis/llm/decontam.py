@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sortalis.llm.textcols import mixed, ranges, slices, text_buffer
 
-RATE, LEAST_WORDS, BLOCK_BYTES = 0.2, 5, 16 << 20
+RATE, LEAST_WORDS, BLOCK_BYTES, SLICE = 0.2, 5, 16 << 20, 1 << 20
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, error_budget int, start int, end int"
 BASE = 0x9E3779B97F4A7C15
 _LOWER: list[np.ndarray] = []
@@ -191,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, leas
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE):
                     hashes, starts, ends, first = normal_words(part.column("text"))
                     doc_ids = part.column("doc_id").to_pylist()
                     rows = [
@@ -223,7 +223,7 @@ def _clean(shared):
     def clean(texts: pa.Array) -> pa.Array:
         keep = np.ones(len(texts), dtype=bool)
         at = 0
-        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", SLICE):
             hashes, _, _, first = normal_words(part.column("text"))
             keep[[at + m[0] for m in shared.value.matches(hashes, first)]] = False
             at += part.num_rows
