@@ -102,7 +102,7 @@ class Tensor:
     def applied(self, delta: Tensor) -> Tensor:
         """The tensor after signed changes."""
         right = delta.frame.withColumnRenamed("v", "w")
-        both = self.frame.join(right, indexes(self.order), "full") if self.order else self.frame.crossJoin(right)
+        both = self.frame.withColumn("_k", F.lit(0)).join(right.withColumn("_k", F.lit(0)), ["_k", *indexes(self.order)], "full")
         new = self.ring.applied(F.coalesce("v", F.lit(0)), F.coalesce("w", F.lit(0)))
         return self._like(both.select(*indexes(self.order), new.alias("v")), self.order)
 
