@@ -21,13 +21,14 @@ class Encoder:
 
     Tokenizers that split at white space before they merge give a text the ids of its chunks (white
     space and the word after it), one after the other.  So each distinct chunk is encoded once by the
-    library and kept, up to ``most_cached`` chunks.  Chunks go to the library in long strings with a
+    library and kept, up to about ``most_cached`` chunks: when half as many are new, those that were not asked for
+    since the last time go.  Chunks go to the library in long strings with a
     special token between them, which the library always splits at.  Texts for which the cut
     between chunks is not certain (rare white space, special tokens written out) and tokenizers of
     another kind are encoded by the library directly.
     """
 
-    def __init__(self, path: str, most_cached: int = 400_000, batch: int = 256):
+    def __init__(self, path: str, most_cached: int = 600_000, batch: int = 256):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -41,6 +42,7 @@ class Encoder:
         self.dtype = np.uint16 if self._tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._most, self._batch = most_cached, batch
         self._cache: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     @staticmethod
     def _splits_at_space(spec: dict) -> bool:
@@ -87,16 +89,19 @@ class Encoder:
             wanted[index[usable]] = True
             values = [v if w else b"" for v, w in zip(values, wanted.tolist(), strict=True)]
         coded = list(map(self._cache.get, values))
+        for i, c in enumerate(coded):
+            if c is None and (c := self._older.get(values[i])) is not None:
+                coded[i] = self._cache[values[i]] = c
         new = [i for i, c in enumerate(coded) if c is None]
         if new:
             keys = [values[i] for i in new]
             found = self._learn(keys)
             for i, c in zip(new, found, strict=True):
                 coded[i] = c
-            if len(self._cache) + len(keys) > self._most:
-                self._cache.clear()
             if len(keys) <= self._most:
                 self._cache.update(zip(keys, found, strict=True))
+        if 2 * len(self._cache) > self._most:
+            self._cache, self._older = {}, self._cache
         flat = np.frombuffer(b"".join(coded), self.dtype)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // np.dtype(self.dtype).itemsize
         starts = np.cumsum(sizes) - sizes
@@ -125,7 +130,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, most_cached: int = 400_000) -> Encoder:
+def encoder(path: str, most_cached: int = 600_000) -> Encoder:
     """The encoder of this worker process for a tokenizer file."""
     key = (path, most_cached)
     if key not in _ENCODERS:
