@@ -93,9 +93,11 @@ class Chase:
                 new = self._fresh.get(atom.relation, [])[seen.get(atom.relation, 0) : self._seen[i].get(atom.relation, 0)]
                 if new:
                     parts.append(Compiler(self.model, context, {id(atom): _union(new)}))
-        found = [unmet(c, c.compile(axiom.premise), axiom.conclusion) for c in parts]
-        if not found:
+        if not parts:
             return False
+        if atoms is not None:
+            return self._add(axiom.conclusion.relation, [self._rows(c, c.compile(axiom.premise), axiom.conclusion) for c in parts])
+        found = [unmet(c, c.compile(axiom.premise), axiom.conclusion) for c in parts]
         frame = _union([e.columns(found[0].vars) for e in found])
         bindings = Extent(found[0].vars, (frame.distinct() if len(found) > 1 else frame).checkpoint())
         if bindings.frame.isEmpty():
@@ -120,16 +122,25 @@ class Chase:
                 return self._witness(compiler, bindings, f)
         raise FormulaError(f"no such conclusion: {f}")
 
-    def _insert(self, compiler: Compiler, bindings: Extent, f: Rel) -> bool:
+    def _rows(self, compiler: Compiler, bindings: Extent, f: Rel) -> DataFrame:
+        """The tuples that a relation atom is made true of."""
         symbol = self.model.signature.relations[f.relation]
         at, names = compiler.values(bindings, compiler.aligned(f.argument, symbol.domain))
-        rows = at.frame.select(*[F.col(n).alias(c) for n, c in zip(names, symbol.columns, strict=True)])
-        old = self.model.relation(f.relation)
-        new = rows.distinct().join(old, symbol.columns, "left_anti").checkpoint()
+        return at.frame.select(*[F.col(n).alias(c) for n, c in zip(names, symbol.columns, strict=True)])
+
+    def _insert(self, compiler: Compiler, bindings: Extent, f: Rel) -> bool:
+        return self._add(f.relation, [self._rows(compiler, bindings, f)])
+
+    def _add(self, relation: str, frames: list[DataFrame]) -> bool:
+        """Adds what is new of some tuples: one job.  The relation stays a union of checkpointed parts, merged now and then."""
+        old = self.model.relation(relation)
+        new = _union(frames).distinct().join(old, old.columns, "left_anti").checkpoint()
         if new.isEmpty():
             return False
-        self.model.relations[f.relation] = old.unionByName(new).checkpoint()
-        self._fresh.setdefault(f.relation, []).append(new)
+        parts = self._fresh.setdefault(relation, [])
+        parts.append(new)
+        grown = old.unionByName(new)
+        self.model.relations[relation] = grown.checkpoint() if len(parts) % 8 == 0 else grown
         return True
 
     def _equate(self, compiler: Compiler, bindings: Extent, a, b) -> bool:
