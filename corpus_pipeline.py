@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortalis.llm.decontam import decontaminated
-from sortalis.llm.langid import label, trained
+from sortalis.llm.langid import SLICE, label, trained
 from sortalis.llm.packing import packed
 from sortalis.llm.queries import remainder, tokenizer
 from sortalis.llm.secrets import redacted
@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
         keep = []
-        for part in slices(pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], names=["doc_id", "text"]), "text"):
+        for part in slices(pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], names=["doc_id", "text"]), "text", SLICE):
             rows = label(part, shared.value)
             words, score = rows.column("n_words").to_numpy(), rows.column("score").to_numpy()
             keep.append(pa.array((words > 0) & ((score >= LEAST_SHARE) | (not shared.value.languages))))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortalis.llm.textcols import mixed, ranges, slices, text_buffer
+from sortalis.llm.textcols import claim, mixed, ranges, slices, text_buffer
 
 RATE, LEAST_WORDS, BLOCK_BYTES, SLICE = 0.2, 5, 16 << 20, 1 << 20
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, error_budget int, start int, end int"
@@ -59,6 +59,7 @@ def _window_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 
 def normal_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first): starts and ends in code points of the document's text."""
+    claim("decontam", _LOWER.clear)
     raw, offsets = text_buffer(column)
     points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
     offset = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[offsets]

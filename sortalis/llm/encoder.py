@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from sortalis.llm.textcols import chunks, distinct, pieces, ranges, text_buffer
+from sortalis.llm.textcols import chunks, claim, distinct, pieces, ranges, text_buffer
 
 #: White space beyond the ASCII separators: a text with one of these is encoded in one go,
 #: since a tokenizer may join it with a separator beside it.
@@ -132,6 +132,7 @@ _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 def encoder(path: str, most_cached: int = 600_000) -> Encoder:
     """The encoder of this worker process for a tokenizer file."""
+    claim("encoder", _ENCODERS.clear)
     key = (path, most_cached)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, most_cached)

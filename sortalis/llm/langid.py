@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sortalis.llm.textcols import slices, text_buffer
+from sortalis.llm.textcols import claim, slices, text_buffer
 
 TABLE_BITS = 16
 MOST_ROWS = 2000
 PENALTY = 8.0
+SLICE = 1 << 19  # bytes of text that a worker takes at a time
 SCHEMA = "doc_id long, lang_pred string, score double, n_words long, spans array<struct<start:int,end:int,lang:string>>"
 
 #: First and last code point of Unicode script ranges.
@@ -181,7 +182,7 @@ def trained(labelled: DataFrame, most_rows: int = MOST_ROWS, text: str = "text",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words = word_spans(part.column("text"))
                 own = np.repeat(np.arange(part.num_rows), np.diff(words.first))
                 doc = np.repeat(own, words.ends - words.starts)
@@ -218,7 +219,7 @@ def predicted(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFr
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield label(part, broadcast.value, penalty)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(task, SCHEMA)
@@ -226,6 +227,7 @@ def predicted(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFr
 
 def label(batch: pa.RecordBatch, model: Model, penalty: float = PENALTY) -> pa.RecordBatch:
     """The prediction for each row of a batch with doc_id and text."""
+    claim("langid", _TABLES.clear)
     words = word_spans(batch.column("text"))
     n, kinds = batch.num_rows, max(1, len(model.languages))
     doc = np.repeat(np.arange(n), np.diff(words.first))

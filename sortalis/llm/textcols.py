@@ -6,7 +6,7 @@ never occur inside a multi-byte character, so byte positions are safe cut points
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,21 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
 
+#: What a worker process holds from one task to the next, by the operator that holds it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called as a task of an operator starts: what other operators left in this worker process is released.
+
+    Workers outlive stages, so without this the caches of several operators add up in one process.
+    """
+    for name in [n for n in _HELD if n != owner]:
+        _HELD.pop(name)()
+    if release is not None:
+        _HELD[owner] = release
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; a null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 
 from sortalis.llm.decontam import Items, contaminated, decontaminated, myers, normal_words
 
