@@ -27,10 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortalis.llm.textcols import ASCII_LOWER, ranges, slices, text_buffer, words
+from sortalis.llm.textcols import ASCII_LOWER, claim, ranges, slices, text_buffer, words
 from sortalis.operators.components import connected_components
 from sortalis.sources.shared import written
 
+SLICE = 1 << 20  # bytes of text that a worker takes at a time
 SEED, RADIUS, BLOCKS = 42, 3, (13, 13, 13, 13, 12)
 
 
@@ -168,7 +169,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: tuple[int, ...] = BLOC
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     keys = ["table", "key", "low", "high"]
-    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, "a long, b long")
+    # an explicit number of partitions: these rows are few but costly, so they must not be coalesced by size
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(task, "a long, b long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
@@ -200,8 +203,9 @@ def fingerprinted(docs: DataFrame, column: str = "fp") -> DataFrame:
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
+        claim("simhash")
         table = pa.RecordBatch.from_arrays([texts], names=["text"])
-        return pa.array(np.concatenate([np.zeros(0, np.uint64), *[fingerprints(s.column("text")) for s in slices(table, "text")]]).view(np.int64))
+        return pa.array(np.concatenate([np.zeros(0, np.uint64), *[fingerprints(s.column("text")) for s in slices(table, "text", SLICE)]]).view(np.int64))
 
     return docs.withColumn(column, of(F.col("text").cast("string")))
 
