@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,7 +196,11 @@ def _incremental(spark, sf_dir):
 
 # streams: a step for each day of events, elements are users
 
-_DAYS = [f"2024-01-{d:02d}" for d in range(1, 6)]
+
+def _days(events: DataFrame) -> list[date]:
+    """Each day from the first event's to the last one's; events without a time have none."""
+    first, last = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    return [first + timedelta(days=d) for d in range((last - first).days + 1)] if first else []
 
 
 def _steps(spark: SparkSession, sf_dir: str, build: Callable[[Plan], Plan]) -> DataFrame:
@@ -203,12 +208,12 @@ def _steps(spark: SparkSession, sf_dir: str, build: Callable[[Plan], Plan]) -> D
     sig = Signature()
     sig.add_sort("User")
     sig.add_relation("seen", [("user", "User")])
-    context, out = StreamContext(), None
-    for step, day in enumerate(_DAYS):
-        events = table(spark, sf_dir, "events").where(F.to_date("ts") == F.lit(day).cast("date"))
-        model = Structure(spark, sig).set_relation("seen", events, ["user_id"], distinct=False)
+    context, out = StreamContext(), spark.createDataFrame([], "c0 long, mult long, step long")
+    events = table(spark, sf_dir, "events")
+    for step, day in enumerate(_days(events)):
+        model = Structure(spark, sig).set_relation("seen", events.where(F.to_date("ts") == F.lit(day)), ["user_id"], distinct=False)
         now = context.run(build(ScanRelation("seen")), model).withColumn("step", F.lit(step).cast("long"))
-        out = now if out is None else out.unionByName(now)
+        out = out.unionByName(now)
     return out
 
 

@@ -1,10 +1,12 @@
 from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
 
 from sortalis.functions.predicates import ColEqConst
 from sortalis.operators import zset
 from sortalis.plans.ops import Delay, Diff, Filter, Integrate, Scan, execute
+from sortalis.queries import QUERIES
 from sortalis.sources.structure import Signature, Structure
 from sortalis.streaming.context import StreamContext, batches_into
 
@@ -70,3 +72,28 @@ def test_structured_streaming(spark, tmp_path):
 @pytest.mark.parametrize("empty", [Scan("A")])
 def test_delay_of_nothing(spark, empty):
     assert StreamContext().execute(Delay(empty, "d"), model(spark, [1])).isEmpty()
+
+
+def test_queries_step_over_every_day(spark, tmp_path):
+    """Eight days with a gap, and an event without a time; the first is not 2024-01-01."""
+    days = [[7, 7, 8], [8], [], [7], [9], [7, 9], [], [7, 8]]
+    start = datetime(2023, 12, 30)
+    events = [(u, start + timedelta(days=i, hours=23)) for i, users in enumerate(days) for u in users] + [(7, None)]
+    spark.createDataFrame(events, "user_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    counts = [Counter(users) for users in days]
+    changes = [Counter({u: n[u] - b[u] for u in n | b if n[u] != b[u]}) for b, n in zip([Counter(), *counts], counts, strict=False)]
+    want = {
+        "stream_delay": [Counter(), *counts[:-1]],
+        "stream_diff": changes,
+        "stream_integrate": [sum(counts[: i + 1], Counter()) for i in range(len(counts))],
+        "stream_filter_diff": [Counter({u: n for u, n in c.items() if u == 7}) for c in changes],
+        "stream_integrate_diff": counts,
+    }
+    for name, steps in want.items():
+        got = {(r.c0, r.step): r.mult for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {(u, i): n for i, c in enumerate(steps) for u, n in c.items()}, name
+
+
+def test_queries_without_events(spark, tmp_path):
+    spark.createDataFrame([], "user_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["stream_integrate"](spark, str(tmp_path)).isEmpty()
