@@ -211,21 +211,23 @@ def fingerprinted(docs: DataFrame, column: str = "fp") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (doc_id, fp, fingerprint, component_id), one for each row of the documents."""
+    """Rows (doc_id, fp, fingerprint, component_id, root), one for each row of the documents; root is the component's least fp."""
     marked = written(fingerprinted(docs.selectExpr("cast(doc_id as long) doc_id", "text")).select("doc_id", "fp"), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(nodes.select("fp"), radius))
     joined = nodes.join(roots, nodes.fp == roots.node)
-    linked = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return marked.join(classes, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
 def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents that stay when each group keeps the one with the smallest doc_id, once if its row repeats."""
+    """The documents that stay when each group keeps the one with the smallest doc_id, once if its row repeats.
+
+    A group is known by its root: unrelated groups may share a component_id where a doc_id repeats or is null.
+    """
     groups = near_duplicates(docs, radius)
-    whole = "coalesce(component_id, -1), component_id is null"
-    best = groups.selectExpr(f"struct({whole}) as g", "doc_id", "fp").groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("k"))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("k"))
     best = best.select(F.col("k.doc_id").alias("kept_id"), F.col("k.fp").alias("kept_fp"))
     marked = fingerprinted(docs, "__fp")
     stay = marked.join(best, marked["doc_id"].eqNullSafe(best["kept_id"]) & (marked["__fp"] == best["kept_fp"]), "left_semi")

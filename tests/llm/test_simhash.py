@@ -87,6 +87,14 @@ def test_forest_connects_two_sides():
     assert len(a) == 2
 
 
+def test_different_texts_under_one_id_all_stay(spark):
+    texts = ["a quiet river bank near the old mill", "seven engines wait for coal in winter", "prices of grain fell again last week", "no two stars of that cluster look alike"]
+    assert len(set(components([fingerprint(t) for t in texts]))) == 4
+    rows = [(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3])]
+    kept = one_of_each_group(spark.createDataFrame(rows + rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, rows))
+
+
 def test_no_rows(no_docs):
     assert near_duplicates(no_docs).count() == 0
     assert one_of_each_group(no_docs).count() == 0
