@@ -7,10 +7,12 @@ candidate's surroundings are then verified by Myers' bit-parallel edit distance,
 document's words with the item in one bit vector.
 
 Words are runs of letters and digits, lower-cased, so that neither case nor punctuation nor white space
-hides an item; they are compared by a 64-bit hash.  Items are taken in blocks of bounded size, each
+hides an item; they are compared by a 64-bit hash.  In scripts without spaces (Chinese, Japanese, Thai,
+Lao, Khmer, Burmese) each letter is a word.  An item of fewer than ``least_words`` words is matched
+exactly: its budget is zero and the whole item is its one piece.  Items are taken in blocks of bounded size, each
 against all documents; every document is read as often as there are blocks.
 
-Defined cases: an item that is null or has fewer than ``least_words`` words never matches; a text that is
+Defined cases: an item that is null or has no word never matches; a text that is
 null or empty has no match; a document that holds several items has a row for each, and one that holds an
 item twice has one row, for its best and then first place; rows that repeat give rows that repeat; empty
 tables give no row; other columns are ignored.
@@ -31,6 +33,8 @@ from sortalis.llm.textcols import claim, mixed, ranges, slices, text_buffer
 RATE, LEAST_WORDS, BLOCK_BYTES, SLICE = 0.2, 5, 16 << 20, 1 << 20
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, error_budget int, start int, end int"
 BASE = 0x9E3779B97F4A7C15
+#: Code points, ends exclusive, of scripts that are written without spaces.
+UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x30000))
 _LOWER: list[np.ndarray] = []
 
 
@@ -47,6 +51,15 @@ def _lower() -> np.ndarray:
     return _LOWER[0]
 
 
+def _alone(points: np.ndarray) -> np.ndarray:
+    """Whether each code point is a word of its own."""
+    out = np.zeros(len(points), bool)
+    if len(points) and points.max() >= UNSPACED[0][0]:
+        for a, b in UNSPACED:
+            out |= (points >= a) & (points < b)
+    return out
+
+
 def _window_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A polynomial hash of values[starts[i]:ends[i]] that does not depend on where the run lies."""
     if not len(values):
@@ -66,8 +79,10 @@ def normal_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     letters = _lower()[points]
     inside = letters > 0
     begin, end = inside.copy(), inside.copy()
-    begin[1:] &= ~inside[:-1]
-    end[:-1] &= ~inside[1:]
+    alone = _alone(points)
+    apart = alone[1:] | alone[:-1]
+    begin[1:] &= ~inside[:-1] | apart
+    end[:-1] &= ~inside[1:] | apart
     cuts = offset[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(points))]
     begin[cuts] = inside[cuts]
@@ -114,9 +129,9 @@ class Items:
         for row, item_id in enumerate(item_ids):
             own = hashes[first[row] : first[row + 1]]
             m = len(own)
-            if m < max(1, least_words):
+            if not m:
                 continue
-            budget = int(rate * m + 1e-9)
+            budget = int(rate * m + 1e-9) if m >= least_words else 0
             cuts = [round(k * m / (budget + 1)) for k in range(budget + 2)]
             keys = _window_sums(own, np.array(cuts[:-1]), np.array(cuts[1:]))
             for a, b, key in zip(cuts, cuts[1:], keys.tolist(), strict=False):

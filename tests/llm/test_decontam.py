@@ -81,6 +81,15 @@ def test_edited_items(spark):
     assert sorted(str((r.doc_id, r.item_id, r.distance)) for r in got) == want
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Blue whale sings"), (2, "今天天气很好我们去公园"), (3, "空が青い"), (4, "...")]
+    docs = [(1, "There the blue whale sings."), (2, "The blue whale never sings."), (3, "他说今天天气真好我们去公园吧"), (4, "明日も空が青いでしょう"), (5, "明日は空が赤いでしょう"), (6, "nothing")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.error_budget, r.start, r.end) for r in contaminated(*frames).collect())
+    assert got == [(1, 1, 0, 0, 10, 26), (3, 2, 1, 2, 2, 13), (4, 3, 0, 0, 3, 7)]
+    assert sorted(r.doc_id for r in decontaminated(*frames).collect()) == [2, 5, 6]
+
+
 def test_blocks_give_the_same(spark, sf_dir, small):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     key = lambda frame: sorted(map(tuple, frame.collect()))
