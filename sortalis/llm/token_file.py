@@ -6,6 +6,9 @@ fixed-size lists, ``ids`` and ``mask``; a second Arrow file indexes the document
 the files; any sequence is a slice of the mapped values, with nothing copied or decoded.  The last
 sequence of a file is filled with zeros that the mask marks.
 
+Tasks are ranges of doc_id and then of the text's first characters, so that a doc_id which many rows share
+is spread; rows that agree in both stay in one task, which streams them.
+
 Defined cases: a null or empty text is the end id alone; rows without doc_id come first; rows that
 share a doc_id follow one another in the order of their texts; an empty table gives no part and no
 row; other columns are ignored.
@@ -28,7 +31,8 @@ from sortalis.sources.shared import mappable, new_folder, write_file
 
 SEQUENCE_LENGTH = 2048
 ROWS = 256  # sequences in a record batch
-PARTS_SCHEMA = "path string, first_doc_id long, n_docs long, n_ids long"
+TIE = 32  # characters of the text by which rows of one doc_id are dealt to tasks
+PARTS_SCHEMA = "path string, first_doc_id long, n_docs long, n_ids long, n_sequences long, first_text string"
 DOCS_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, sequence long, sequence_offset int"
 
 
@@ -91,7 +95,7 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, length: int = SEQUENCE_LENGTH, end_id: int = 2) -> list[tuple]:
-    """Writes the files; returns (path, first_doc_id, n_docs, n_ids) of each part in stream order, one for each task."""
+    """Writes the files; returns (path, first_doc_id, n_docs, n_ids, n_sequences, first_text) of each part in stream order, one for each task."""
     folder = folder or new_folder(docs.sparkSession, "tokens")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +104,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         first = next(batches, None)
         if first is None:
             return
-        ids_of, sizes = [], []
+        ids_of: list[int | None] = []
+        sizes: list[int] = []
+        head = first.column("text")[0].as_py()
 
         def write(out) -> None:
             writer, end, batch = _Writer(out, coder.dtype, length), np.array([end_id], coder.dtype), first
@@ -121,17 +127,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
                 writer.write_table(index)
 
         write_file(f"{path}.index.arrow", write_index)
-        yield pa.RecordBatch.from_pydict({"path": [path], "first_doc_id": pa.array(ids_of[:1], pa.int64()), "n_docs": [len(ids_of)], "n_ids": [sum(sizes)]})
+        yield pa.RecordBatch.from_pydict({"path": [path], "first_doc_id": pa.array(ids_of[:1], pa.int64()), "n_docs": [len(ids_of)], "n_ids": [sum(sizes)], "n_sequences": [-(-sum(sizes) // length)], "first_text": pa.array([head and head[:TIE]], pa.string())})
 
-    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").repartitionByRange(F.col("doc_id").asc_nulls_first())
+    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, TIE).asc_nulls_first())
     parts = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(task, PARTS_SCHEMA).collect()
-    return sorted((tuple(p) for p in parts), key=lambda p: (p[1] is not None, p[1] or 0))
+    return sorted((tuple(p) for p in parts), key=lambda p: (p[1] is not None, p[1] or 0, p[5] is not None, (p[5] or "").encode()))
 
 
 def read_token_files(spark: SparkSession, parts: list[tuple]) -> DataFrame:
     """One row for each document, from the files alone; the base of a part is the sum of the parts before it."""
     bases = np.cumsum([0] + [p[3] for p in parts]).tolist()
-    sequences = np.cumsum([0] + [-(-p[3] // SEQUENCE_LENGTH) for p in parts]).tolist()
+    sequences = np.cumsum([0] + [p[4] for p in parts]).tolist()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -14,8 +15,11 @@ from sortalis.llm.token_file import TokenFile, read_token_files, write_token_fil
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
+library_of = functools.cache(Tokenizer.from_file)
+
+
 def ids_of(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return library_of(path).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -23,9 +27,9 @@ def crc(ids):
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
-@pytest.mark.parametrize("most", [5, 400_000])
+@pytest.mark.parametrize("most", [3000, 96 << 20])
 def test_cached_ids_equal_the_library(path, most, small):
-    coder, library = Encoder(path, most_cached=most), Tokenizer.from_file(path)
+    coder, library = Encoder(path, most_bytes=most), Tokenizer.from_file(path)
     texts = ["", None, "  a  b\n\nc ", "  foo ́x", "<|endoftext|> hi <|endoftext|>", "don't  'sx \t\r\n x", "Σας ΟΣ İ", "\n", " ", "a  b", "a\x1c b\x85 　c", "﻿ x"]
     texts += [t for _, t in small[1][:60]]
     for _ in range(2):
@@ -34,6 +38,19 @@ def test_cached_ids_equal_the_library(path, most, small):
             assert ids[first[d] : first[d + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_ids_of_pieces_equal_the_library_on_random_texts(path):
+    coder, library = Encoder(path, most_bytes=20_000), Tokenizer.from_file(path)
+    random = np.random.default_rng(5)
+    parts = [*"aZéÜß'’.,-_$1\u0662²\n\t\r \x0b\x00\x7f", "  ", "\n\n", "\r\n", "'s", "'S", "'re", "n't", "H\u0331", "I\u0307", "İ", "K", "ſ", "а", "Ж", "ا", "א", "中", "😀", "\u0301", "ab12", "x.y", "word", "\u00b5", "\u02b0", "\u0345", "ʼ", "×", "÷", "ª", "º", "ǅ"]
+    texts = ["".join(random.choice(parts, random.integers(0, 14))) for _ in range(4000)]
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        ids, first = coder.encode_column(pa.array(some))
+        for d, t in enumerate(some):
+            assert ids[first[d] : first[d + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def token_rows(docs, path):
     library = Tokenizer.from_file(path)
     rows = docs.selectExpr("doc_id", "text").collect()
@@ -58,7 +75,7 @@ def test_token_files_read_back(spark, name, request):
 def test_token_file_random_access(spark, small, tmp_path):
     parts = write_token_files(small[0], WORD, folder=f"file://{tmp_path}", length=64)
     total = 0
-    for path, _, _, n_ids in parts:
+    for path, _, _, n_ids, *_ in parts:
         file = TokenFile(f"{path}.arrow")
         flat = np.concatenate([file.sequence(i) for i in range(-(-n_ids // 64))])
         valid = sum(file.mask(i).true_count for i in range(-(-n_ids // 64)))
@@ -69,6 +86,17 @@ def test_token_file_random_access(spark, small, tmp_path):
     assert total == sum(r[2] for r in token_rows(small[0], WORD))
 
 
+def test_sequence_numbers_follow_the_length_written(spark, small):
+    parts = write_token_files(small[0], WORD, length=64)
+    rows = sorted((tuple(r) for r in read_token_files(spark, parts).collect()), key=lambda r: r[1])
+    ends = np.cumsum([-(-p[3] // 64) for p in parts])
+    assert rows[0][4] == 0 and rows[-1][4] < ends[-1] and len(parts) > 0
+    assert all(offset < 64 for *_, offset in rows)
+    full = sum(p[3] for p in parts[:-1])
+    assert [r[4] * 64 + r[5] for r in rows if r[1] < parts[0][3]] == [r[1] for r in rows if r[1] < parts[0][3]]
+    assert [r[4] for r in rows if r[1] >= full][0] == (ends[-2] if len(parts) > 1 else 0)
+
+
 def test_token_files_of_no_rows(spark, no_docs):
     parts = write_token_files(no_docs, WORD)
     assert parts == [] and read_token_files(spark, parts).count() == 0
