@@ -2,11 +2,12 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
 
-from sortalis.llm.secrets import ALLOWED, MARK, redacted, scanned
+from sortalis.llm.secrets import MARK, redacted, scanned
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -17,17 +18,36 @@ def base_spans(text):
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
 
 
+def masked(body):
+    uuid = "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+    body = re.sub(f"(?<![0-9A-Za-z]){uuid}(?![0-9A-Za-z])", lambda m: " " * 36, body)
+    body = re.sub("(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])", lambda m: " " * 10, body)
+    harmless = ("example", "sample", "dummy", "placeholder", "xxxx", "0123456789", "abcdefgh")
+    return "/".join(" " * len(g) if any(h in g.lower() for h in harmless) else g for g in body.split("/"))
+
+
+def least_bits(window):
+    """The threshold of a window, None where it is no candidate."""
+    if " " in window or not re.search("[A-Za-z]", window):
+        return None
+    if not re.search("[0-9]", window):
+        lower, upper = len(re.findall("[a-z]", window)), len(re.findall("[A-Z]", window))
+        return 4.0 if window.isalpha() and lower >= 4 and upper >= 4 else None
+    return 3.1 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", window) else 3.85
+
+
 def entropy_spans(text):
     out = []
     for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", text):
-        body = m[0]
-        if not re.search("[0-9]", body) or not re.search("[A-Za-z]", body) or any(re.search(p, body) for p in ALLOWED):
+        if re.fullmatch("/?([A-Za-z]+|[0-9]+)([/_-]([A-Za-z]+|[0-9]+))+/?", m[0]):
             continue
-        least = 3.1 if re.fullmatch("[0-9a-fA-F]+", body) else 3.85
-        merged = []
+        body, merged = masked(m[0]), []
         for i in range(len(body) - 19):
+            least = least_bits(body[i : i + 20])
+            if least is None:
+                continue
             h = -sum(n / 20 * math.log2(n / 20) for n in Counter(body[i : i + 20]).values())
-            if h >= least - 1e-9:
+            if h >= least - 1e-6:
                 if merged and merged[-1][1] >= i:
                     merged[-1][1] = i + 20
                 else:
@@ -38,8 +58,14 @@ def entropy_spans(text):
 
 def brute(text):
     text = text or ""
-    base = base_spans(text)
-    added = [x for x in entropy_spans(text) if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)]
+    base, added = base_spans(text), []
+    events = sorted([(x[0], 0, x) for x in base] + [(x[0], 1, x) for x in entropy_spans(text)])
+    reach = 0
+    for _, entropy, x in events:  # inside a base span: one that begins no later ends no earlier
+        if not entropy:
+            reach = max(reach, x[2])
+        elif x[2] > reach:
+            added.append(x)
     listed = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{a}:{b}" for a, k, b in spans)
     counts = Counter(k for _, k, _ in base)
     return counts[0], counts[1], counts[2], hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + added))
@@ -56,6 +82,7 @@ def samples():
         "3f2a9c71-0b4d-4e6f-8a1b-2c3d4e5f6a7b path/to/some/long/words/2024/01",
         "abc" * 20 + " " + "".join(rng.choices("0123456789ABCDEF", k=48)),
     ]
+    out += ["https://host/sample/" + "".join(rng.choices(alphabet, k=50)), "AbstractSingletonProxyFactoryBean", "".join(rng.choices(alphabet[:52], k=60)), "id_3f2a9c71-0b4d-4e6f-8a1b-2c3d4e5f6a7b_x1Y2z3", "x" * 300 + "".join(rng.choices(alphabet, k=700)) + "=="]
     for _ in range(40):
         words = ["".join(rng.choices(alphabet, k=rng.randrange(1, 70))) for _ in range(8)]
         out.append(" ".join(words) + rng.choice(["", " token: ", "=", "secret="]) + "".join(rng.choices("0123456789abcdef", k=rng.randrange(10, 60))))
@@ -94,5 +121,37 @@ def test_redaction(spark, edge_docs, small):
         assert all(old[r.doc_id] == r for r in new.collect() if r.doc_id in set(clean) and r.doc_id < 100)
 
 
+def longs():
+    """Very long candidates, and very many matches in one text."""
+    rng = random.Random(7)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    return ["a-1-" * 20_000, "a1-" * 20_000, "data:;base64," + "".join(rng.choices(alphabet, k=1_000_000)), "token=abcdef1 " * 100_000, ("é" + "".join(rng.choices(alphabet, k=24)) + " ") * 20_000]
+
+
+def test_long_candidates_and_many_matches(spark):
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(longs())], "doc_id long, text string, n_chars long").repartition(5)
+    started = time.monotonic()
+    got = {r.doc_id: tuple(r)[1:6] for r in scanned(docs).collect()}
+    new = {r.doc_id: r.text for r in redacted(docs).collect()}
+    assert time.monotonic() - started < 120
+    for i, text in enumerate(longs()):
+        assert got[i] == brute(text)
+        at, out = 0, []
+        for span in brute(text)[4].split(",") if brute(text)[4] else []:
+            a, b = map(int, span.split(":")[1:])
+            if b > at:
+                out.append(text[at:a] + (MARK if a >= at else ""))
+                at = b
+        assert new[i] == "".join(out) + text[at:]
+
+
+def test_names_used_inside_may_be_columns(spark):
+    names = ["doc_id", "text", "t", "T2", "row", "run", "spans", "base", "cuts", "new", "blocks", "__t", "n_chars", "a.b"]
+    docs = spark.createDataFrame([(1, "token=abcdef1", *["keep me"] * 10, 13, "dot")], ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    out = redacted(docs).collect()[0]
+    assert list(out.asDict()) == names and out["text"] == MARK and out["n_chars"] == len(MARK) and out["a.b"] == "dot"
+    assert all(out[n] == "keep me" for n in names[2:12])
+
+
 def test_no_rows(no_docs):
     assert scanned(no_docs).count() == 0 and redacted(no_docs).count() == 0
