@@ -34,7 +34,7 @@ RATE, LEAST_WORDS, BLOCK_BYTES, SLICE = 0.2, 5, 16 << 20, 1 << 20
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, error_budget int, start int, end int"
 BASE = 0x9E3779B97F4A7C15
 #: Code points, ends exclusive, of scripts that are written without spaces.
-UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x30000))
+UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x40000))
 _LOWER: list[np.ndarray] = []
 
 
@@ -42,7 +42,7 @@ def _lower() -> np.ndarray:
     """By code point, the lower-case letter or digit; 0 for the rest."""
     if not _LOWER:
         table = np.zeros(0x110000, np.uint64)
-        for c in range(0x30000):
+        for c in range(0x110000):
             s = chr(c)
             if s.isalnum():
                 low = s.lower()

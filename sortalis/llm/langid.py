@@ -4,7 +4,8 @@ Method: a word is a run of letters.  The Unicode scripts of a word's letters nar
 the languages that use one of them.  Each candidate gets a score per word, the log-likelihood of the
 word's letter bigrams and trigrams against the mean of all languages.  A Viterbi pass over the words, in
 which a change of language costs a penalty, labels spans; the label with the most letters is the
-document's language and its share of the letters is the score.
+document's language and its share of the letters is the score; ``recognised`` is the share of the letters
+in words of which some language has a script.
 
 The model is a table of hashed letter n-grams, of a size that does not depend on the data.  It is fitted
 on about ``most_rows`` labelled rows of each language, chosen by the hash of doc_id (all rows where a
@@ -31,7 +32,7 @@ TABLE_BITS = 16
 MOST_ROWS = 2000
 PENALTY = 8.0
 SLICE = 1 << 19  # bytes of text that a worker takes at a time
-SCHEMA = "doc_id long, lang_pred string, score double, n_words long, spans array<struct<start:int,end:int,lang:string>>"
+SCHEMA = "doc_id long, lang_pred string, score double, n_words long, spans array<struct<start:int,end:int,lang:string>>, recognised double"
 
 #: First and last code point of Unicode script ranges.
 SCRIPTS = (
@@ -41,6 +42,7 @@ SCRIPTS = (
     ("gujarati", 0xA80, 0xAFF), ("tamil", 0xB80, 0xBFF), ("telugu", 0xC00, 0xC7F), ("kannada", 0xC80, 0xCFF),
     ("malayalam", 0xD00, 0xD7F), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("ethiopic", 0x1200, 0x137F),
     ("khmer", 0x1780, 0x17FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
+    ("han", 0x20000, 0x3FFFF),
 )
 SCRIPT_NAMES = tuple(dict.fromkeys(s for s, _, _ in SCRIPTS))
 
@@ -50,7 +52,7 @@ class _Tables:
 
     def __init__(self) -> None:
         lower = np.zeros(0x110000, np.uint32)
-        for c in range(0x30000):
+        for c in range(0x110000):
             s = chr(c)
             if s.isalpha():
                 low = s.lower()
@@ -95,7 +97,7 @@ def word_spans(column: pa.Array) -> Words:
     """The words of each text."""
     raw, offsets = text_buffer(column)
     tables = _tables()
-    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
     leading = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
     offset = leading[offsets]
     letters = tables.lower[points]
@@ -108,7 +110,7 @@ def word_spans(column: pa.Array) -> Words:
     begin[cuts] = inside[cuts]
     end[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    script = np.bitwise_or.reduceat(tables.script[points], starts) if len(starts) else np.zeros(0, np.uint32)
+    script = np.zeros(0, np.uint32)
     if len(starts):  # reduceat runs on to the next word; what lies between has no script bit of its own
         script = np.bitwise_or.reduceat(np.where(inside, tables.script[points], 0), starts)
     return Words(np.searchsorted(starts, offset), starts, ends, offset, letters, script)
@@ -131,7 +133,7 @@ class Model:
             for k in range(len(self.languages)):
                 sums = np.append(0, np.cumsum(np.where(words.letters > 0, table[k][slots], 0), dtype=np.float64))
                 out[:, k] += (sums[words.ends] - sums[words.starts]).astype(np.float32)
-        fits = (words.script[:, None] & self.scripts[None, :]) > 0
+        fits = (words.script[:, None] & self.scripts[None, :]) > 0  # none at all: all candidates stay
         out[~fits & fits.any(axis=1)[:, None]] -= 50
         return out
 
@@ -238,6 +240,8 @@ def label(batch: pa.RecordBatch, model: Model, penalty: float = PENALTY) -> pa.R
     best = letters.argmax(axis=1)
     known = (total > 0) & bool(model.languages)
     score = np.where(known, letters[np.arange(n), best] / np.maximum(total, 1), 0.0)
+    fits = (words.script & np.bitwise_or.reduce(model.scripts, initial=0)) > 0
+    recognised = np.bincount(doc, weights=sizes * fits, minlength=n) / np.maximum(total, 1)
     names = np.array([*model.languages, "und"], dtype=object)
     head = np.append(True, (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])) if len(labels) else np.zeros(0, dtype=bool)
     if not model.languages:
@@ -260,5 +264,6 @@ def label(batch: pa.RecordBatch, model: Model, penalty: float = PENALTY) -> pa.R
         pa.array(score),
         pa.array(np.diff(words.first)),
         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans),
+        pa.array(recognised),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "n_words", "spans"])
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "n_words", "spans", "recognised"])

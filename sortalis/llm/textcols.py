@@ -6,7 +6,10 @@ never occur inside a multi-byte character, so byte positions are safe cut points
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +25,36 @@ ASCII_LOWER[65:91] += 32
 
 
 #: What a worker process holds from one task to the next, by the operator that holds it.
-_HELD: dict[str, Callable[[], None]] = {}
+_HELD: dict[str, Callable[[], object]] = {}
 
 
-def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+def claim(owner: str, release: Callable[[], object] = lambda: None) -> None:
     """Called as a task of an operator starts: what other operators left in this worker process is released.
 
     Workers outlive stages, so without this the caches of several operators add up in one process.
     """
-    for name in [n for n in _HELD if n != owner]:
+    others = [n for n in _HELD if n != owner]
+    for name in others:
         _HELD.pop(name)()
-    if release is not None:
-        _HELD[owner] = release
+    if others:  # what is free goes back to the system, as the next operator's memory has another shape
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _HELD[owner] = release
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a text column; a null counts as the empty text."""
+    """(bytes, offsets) of a text column; a null counts as the empty text, bytes that are no UTF-8 as U+FFFD."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     column = column.cast(pa.large_binary()).fill_null(b"")
+    try:
+        column.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        column = pa.array([t.decode("utf-8", "replace").encode() for t in column.to_pylist()], pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -126,6 +138,14 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that is not taken, in any case of its letters."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indexes starts[i], starts[i] + 1, ... for lengths[i] of them, one after the other."""
     total = int(lengths.sum())
