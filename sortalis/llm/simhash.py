@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortalis.llm.textcols import ASCII_LOWER, claim, ranges, slices, text_buffer, words
+from sortalis.llm.blobs import find
+from sortalis.llm.textcols import ASCII_LOWER, claim, fresh, ranges, slices, text_buffer, words
 from sortalis.operators.components import connected_components
-from sortalis.sources.shared import written
+from sortalis.sources.shared import exists, mapped, new_folder, write_file, written
 
 SLICE = 1 << 20  # bytes of text that a worker takes at a time
-SEED, RADIUS, BLOCKS = 42, 3, (13, 13, 13, 13, 12)
+SEED, RADIUS, BLOCKS, HOT = 42, 3, (13, 13, 13, 13, 12), 10_000
 
 
 def fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -198,7 +199,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray
         yield current, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
 
-def fingerprinted(docs: DataFrame, column: str = "fp") -> DataFrame:
+def fingerprinted(docs: DataFrame, column: str) -> DataFrame:
     """The documents with their fingerprints in another column."""
 
     @F.arrow_udf("long")
@@ -211,24 +212,88 @@ def fingerprinted(docs: DataFrame, column: str = "fp") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (doc_id, fp, fingerprint, component_id, root), one for each row of the documents; root is the component's least fp."""
-    marked = written(fingerprinted(docs.selectExpr("cast(doc_id as long) doc_id", "text")).select("doc_id", "fp"), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """Rows (doc_id, fp, fingerprint, component_id, root), one for each row of the documents; root is the component's least fp.
+
+    A fingerprint of more than one in HOT of all rows is hot.  There are HOT hot ones at most, so their classes
+    are broadcast, and no task gets the rows of one.
+    """
+    marked = written(fingerprinted(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "fp").select("doc_id", "fp"), "fingerprints")
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = connected_components(links(nodes.select("fp"), radius))
     joined = nodes.join(roots, nodes.fp == roots.node)
     linked = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return marked.join(classes, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
+    classes = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    classes = written(classes, "classes")
+    most = marked.count() // HOT
+    hot = classes.where(F.col("n") > most).select("fp", F.struct("component_id", "root").alias("class"))
+    tagged = marked.join(F.broadcast(hot), "fp", "left")
+    cold = tagged.where("class is null").select("doc_id", "fp").join(classes.where(F.col("n") <= most).select("fp", "component_id", "root"), "fp")
+    rows = cold.unionByName(tagged.where("class is not null").select("doc_id", "fp", "class.component_id", "class.root"))
+    return rows.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
 def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents that stay when each group keeps the one with the smallest doc_id, once if its row repeats.
+    """The documents that stay when each group keeps the row with the smallest doc_id, the first of those that repeat.
 
-    A group is known by its root: unrelated groups may share a component_id where a doc_id repeats or is null.
+    The rows are written once with their fingerprint and their place (the number of the part that a task wrote, and
+    of the row in it).  Groups are decided on by fingerprints alone; what comes back is a sorted array of the kept
+    places of each part, as a file in the shared folder.  So no text is shuffled, and a task maps the arrays of the
+    parts it reads only.
     """
-    groups = near_duplicates(docs, radius)
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("k"))
-    best = best.select(F.col("k.doc_id").alias("kept_id"), F.col("k.fp").alias("kept_fp"))
-    marked = fingerprinted(docs, "__fp")
-    stay = marked.join(best, marked["doc_id"].eqNullSafe(best["kept_id"]) & (marked["__fp"] == best["kept_fp"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__fp"]).select(*docs.columns)
+    fp, place = fresh("fp", docs.columns), fresh("place", docs.columns)
+    marked = written(fingerprinted(docs, fp).withColumn(place, F.monotonically_increasing_id()), "marked", compression="zstd")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(place).alias("place"))
+    nodes = marked.select(F.col(fp).alias("fp"), key.alias("k")).groupBy("fp").agg(F.min("k").alias("k"))
+    nodes = written(nodes.select("fp", "k"), "nodes")
+    roots = connected_components(links(nodes.select("fp"), radius))
+    kept = nodes.join(roots, nodes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("k").alias("k"))
+    folder = new_folder(docs.sparkSession, "kept")
+    places = kept.select(F.expr("shiftright(k.place, 33)").alias("part"), F.col("k.place").alias("place")).repartition("part").sortWithinPartitions("part", "place")
+    places.mapInArrow(lambda batches: _write_places(batches, folder), "part long").count()
+
+    @F.arrow_udf("boolean")
+    def stays(places: pa.Array) -> pa.Array:
+        claim("simhash", _PLACES.clear)
+        own = places.to_numpy()
+        out = np.zeros(len(own), dtype=bool)
+        part = own >> 33
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            out[at] = find(_kept_places(folder, p), own[at]) >= 0
+        return pa.array(out)
+
+    return marked.where(stays(F.col(place))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _write_places(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes the kept places of each part, from batches sorted by part and place."""
+    current, held = None, []
+
+    def flush() -> None:
+        if current is not None:
+            write_file(f"{folder}/{current}.i64", lambda out: out.write(np.concatenate(held).tobytes()))
+
+    for batch in batches:
+        part, place = batch.column("part").to_numpy(), batch.column("place").to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                if part[a] != current:
+                    flush()
+                    current, held = int(part[a]), []
+                held.append(place[a:b])
+        yield pa.RecordBatch.from_arrays([batch.column("part")], names=["part"])
+    flush()
+
+
+_PLACES: dict[str, np.ndarray] = {}
+
+
+def _kept_places(folder: str, part: int) -> np.ndarray:
+    """The kept places of a part; a part of which nothing stays has no file."""
+    name = f"{folder}/{part}.i64"
+    if name not in _PLACES:
+        if len(_PLACES) > 64:
+            _PLACES.clear()
+        _PLACES[name] = mapped(name, np.int64) if exists(name) else np.zeros(0, np.int64)
+    return _PLACES[name]

@@ -95,6 +95,24 @@ def test_different_texts_under_one_id_all_stay(spark):
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, rows))
 
 
+def test_names_used_inside_may_be_columns(spark):
+    rows = [(1, "a b c d", "x", "y", "z"), (2, "a b c d", "p", "q", "r")]
+    kept = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, fp string, Place string, __fp string"))
+    assert [tuple(r) for r in kept.collect()] == rows[:1] and kept.columns == ["doc_id", "text", "fp", "Place", "__fp"]
+
+
+def test_a_hot_fingerprint_and_a_cold_one(spark, monkeypatch):
+    from sortalis.llm import simhash
+
+    monkeypatch.setattr(simhash, "HOT", 4)
+    texts = ["same old story told again"] * 40 + [f"a quite different tale number {i} of {i * i}" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    group = components([fingerprint(t) for t in texts])
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert got == {i: min(j for j, h in enumerate(group) if h == g) for i, g in enumerate(group)}
+    assert sorted(r.doc_id for r in one_of_each_group(docs).collect()) == sorted(set(got.values()))
+
+
 def test_no_rows(no_docs):
     assert near_duplicates(no_docs).count() == 0
     assert one_of_each_group(no_docs).count() == 0
