@@ -19,12 +19,8 @@ from sortalis.llm.simhash import one_of_each_group
 from sortalis.llm.textcols import slices
 from sortalis.sources.shared import written
 
-#: A document is rejected if its main language has less than this share of its letters.
-LEAST_SHARE = 0.5
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those in which no language has half of the letters."""
+    """Rejects documents without a letter and those that no learned language has a script for; mixed ones stay."""
     model = trained(docs.where(remainder(3) != 1))
     shared = spark.sparkContext.broadcast(model)
 
@@ -33,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         keep = []
         for part in slices(pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], names=["doc_id", "text"]), "text", SLICE):
             rows = label(part, shared.value)
-            words, score = rows.column("n_words").to_numpy(), rows.column("score").to_numpy()
-            keep.append(pa.array((words > 0) & ((score >= LEAST_SHARE) | (not shared.value.languages))))
+            words, share = rows.column("n_words").to_numpy(), rows.column("recognised").to_numpy()
+            keep.append(pa.array((words > 0) & ((share > 0) | (not shared.value.languages))))
         return pa.concat_arrays(keep) if keep else pa.array([], pa.bool_())
 
     return docs.where(accepted(F.col("text").cast("string")))
