@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 
@@ -102,6 +103,24 @@ def columns_of(p: Predicate) -> set[int]:
     return set()
 
 
+def renumbered(p: Predicate, column: Callable[[int], int]) -> Predicate:
+    """The predicate over other column numbers."""
+    match p:
+        case ColEqConst(c, v):
+            return ColEqConst(column(c), v)
+        case ColEqCol(a, b):
+            return ColEqCol(column(a), column(b))
+        case FuncEq(f, a, b):
+            return FuncEq(f, column(a), column(b))
+        case FuncEqConst(f, a, v):
+            return FuncEqConst(f, column(a), v)
+        case And(a, b):
+            return And(renumbered(a, column), renumbered(b, column))
+        case Or(a, b):
+            return Or(renumbered(a, column), renumbered(b, column))
+    return p
+
+
 def conjuncts(p: Predicate) -> list[Predicate]:
     return conjuncts(p.left) + conjuncts(p.right) if isinstance(p, And) else [p]
 
