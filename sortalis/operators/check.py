@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +30,23 @@ def violations(model: Structure, sequent: Sequent) -> Extent:
 
 
 def new_violations(model: Structure, sequent: Sequent, new: Mapping[str, DataFrame]) -> Extent:
-    """The counterexamples that touch a new element; ``new`` has an ``elem`` table for each sort that grew."""
-    compiler = Compiler(model, dict(sequent.context))
-    premise = compiler.compile(sequent.premise)
-    premise = compiler.widened(premise, compiler.compile(sequent.conclusion).vars)
-    return unmet(compiler, border(premise, dict(sequent.context), new), sequent.conclusion)
+    """The counterexamples that touch a new element; ``new`` has an ``elem`` table for each sort that grew.
+
+    One premise is evaluated for each variable of such a sort, with the variable cut to the new elements.
+    """
+    context = dict(sequent.context)
+    whole = Compiler(model, context)
+    used = [*whole.compile(sequent.premise).vars, *whole.compile(sequent.conclusion).vars]
+    found = []
+    for v in dict.fromkeys(used):
+        if context[v] in new:
+            compiler = Compiler(model, context, within={v: new[context[v]]})
+            found.append(unmet(compiler, compiler.compile(sequent.premise), sequent.conclusion))
+    if not found:
+        none = unmet(whole, whole.compile(sequent.premise), sequent.conclusion)
+        return Extent(none.vars, none.frame.limit(0))
+    names = tuple(sorted(found[0].vars))
+    return Extent(names, reduce(DataFrame.unionByName, [e.columns(names) for e in found]).distinct())
 
 
 def border(extent: Extent, sorts: Mapping[str, str], new: Mapping[str, DataFrame]) -> Extent:

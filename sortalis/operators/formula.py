@@ -44,10 +44,14 @@ class Extent:
 
 
 class Compiler:
-    """Compiles formulas over a model.  ``instead`` gives tables for single atoms, by identity."""
+    """Compiles formulas over a model.
 
-    def __init__(self, model: Structure, context: Mapping[str, str], instead: Mapping[int, DataFrame] | None = None):
-        self.model, self.context, self.instead = model, dict(context), dict(instead or {})
+    ``instead`` gives tables for single atoms, by identity; ``within`` gives, for a variable, the elements that it
+    may have, to which each atom that it occurs in is cut at once.
+    """
+
+    def __init__(self, model: Structure, context: Mapping[str, str], instead: Mapping[int, DataFrame] | None = None, within: Mapping[str, DataFrame] | None = None):
+        self.model, self.context, self.instead, self.within = model, dict(context), dict(instead or {}), dict(within or {})
         self._names = count()
 
     def truth(self, value: bool) -> Extent:
@@ -106,11 +110,11 @@ class Compiler:
                 if len(arguments) != len(flat(symbol.domain)):
                     raise FormulaError(f"{f} takes {len(flat(symbol.domain))} values")
                 results = [f"_{next(self._names)}" for _ in flat(symbol.codomain)]
-                atoms.append((self.model.function(f), arguments + results))
+                atoms.append((self.model.function_inside(f), arguments + results))
                 return results
 
     def _joined(self, atoms: list[tuple[DataFrame, list[str]]]) -> Extent:
-        out = self.truth(True)
+        out = None
         for frame, names in atoms:
             own = frame.toDF(*[f"_c{i}" for i in range(len(names))])
             first: dict[str, int] = {}
@@ -122,8 +126,12 @@ class Compiler:
             own = own.select(*[F.col(f"_c{i}").alias(n) for n, i in first.items()])
             if len(first) < len(names):
                 own = own.distinct()
-            out = self.both(out, Extent(tuple(first), own))
-        return out
+            for n in first:
+                if n in self.within:
+                    own = own.join(self.within[n].select(F.col("elem").alias(n)), n, "left_semi")
+            own = Extent(tuple(first), own)
+            out = own if out is None else self.both(out, own)
+        return self.truth(True) if out is None else out
 
     def both(self, a: Extent, b: Extent) -> Extent:
         """The natural join of two extents."""
@@ -136,14 +144,13 @@ class Compiler:
 
     def domain(self, names) -> Extent:
         """All assignments of variables."""
-        out = self.truth(True)
-        for n in names:
-            out = self.both(out, Extent((n,), self.model.carrier(self.context[n]).select(F.col("elem").alias(n))))
-        return out
+        parts = [Extent((n,), self.within.get(n, self.model.carrier(self.context[n])).select(F.col("elem").alias(n))) for n in names]
+        return reduce(self.both, parts) if parts else self.truth(True)
 
     def widened(self, e: Extent, names) -> Extent:
         """An extent with further variables, which may have any value."""
-        return self.both(e, self.domain([n for n in names if n not in e.vars]))
+        missing = [n for n in names if n not in e.vars]
+        return self.both(e, self.domain(missing)) if missing else e
 
     def compile(self, f: Formula) -> Extent:
         match f:
@@ -159,19 +166,19 @@ class Compiler:
                 arguments = self._flatten(self.aligned(t, symbol.domain), atoms)
                 if len(arguments) != symbol.domain.arity:
                     raise FormulaError(f"{name} takes {symbol.domain.arity} values")
-                table = self.instead.get(id(f), self.model.relation(name))
+                table = self.instead[id(f)] if id(f) in self.instead else self.model.relation_inside(name)
                 return self._shown(self._joined([(table, arguments), *atoms]))
             case Eq(a, b):
                 return self._equal(a, b)
             case Conj(ps):
-                return reduce(self.both, map(self.compile, ps), self.truth(True))
+                return reduce(self.both, map(self.compile, ps)) if ps else self.truth(True)
             case Disj(ps):
                 parts = [self.compile(p) for p in ps]
                 names = tuple(dict.fromkeys(v for p in parts for v in p.vars))
                 frames = [self.widened(p, names).columns(names) for p in parts]
                 return Extent(names, reduce(DataFrame.unionByName, frames).distinct()) if frames else self.truth(False)
             case Exists(v, sort, body):
-                inner = Compiler(self.model, {**self.context, v: sort}, self.instead)
+                inner = Compiler(self.model, {**self.context, v: sort}, self.instead, {k: t for k, t in self.within.items() if k != v})
                 inner._names = self._names
                 e = inner.compile(body)
                 if v in e.vars:
@@ -202,7 +209,7 @@ class Compiler:
                 atoms = [(t, [new if n == old else n for n in names]) for t, names in atoms]
                 left, right = ([new if n == old else n for n in side] for side in (left, right))
             else:
-                carrier = self.model.carrier(self.context[x])
+                carrier = self.within.get(x, self.model.carrier(self.context[x]))
                 atoms.append((carrier.select(F.col("elem").alias("l"), F.col("elem").alias("r")), [x, y]))
         return self._shown(self._joined(atoms))
 

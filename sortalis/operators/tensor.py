@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -154,17 +154,23 @@ class Incremental:
     def _signed(self, t: Tensor) -> Tensor:
         return Tensor(t.frame, t.order, INT)
 
-    def _bilinear(self, other: Incremental, op: str) -> Incremental:
+    def _bilinear(self, other: Incremental, op: Callable[[Tensor, Tensor], Tensor]) -> Incremental:
         """δ(a·b) = δa·b + a·δb + δa·δb, each corner once."""
         a, da, b, db = (self._signed(t) for t in (self.value, self.delta, other.value, other.delta))
-        parts = [getattr(da, op)(b), getattr(a, op)(db), getattr(da, op)(db)]
-        return Incremental(getattr(self.value, op)(other.value), sum_all(parts))
+        return Incremental(op(self.value, other.value), sum_all([op(da, b), op(a, db), op(da, db)]))
+
+    def joined(self, other: Incremental, on: Sequence[tuple[int, int]], keep: Sequence[int]) -> Incremental:
+        """The change of a contraction of a product, each corner as one join on the shared indexes."""
+        op = lambda x, y: x.joined(y, on, keep)
+        if self.value.ring != INT:
+            return self._recomputed(op(self.value, other.value), op(self.settle(), other.settle()))
+        return self._bilinear(other, op)
 
     def product(self, other: Incremental) -> Incremental:
-        return self._bilinear(other, "product")
+        return self._bilinear(other, Tensor.product)
 
     def hadamard(self, other: Incremental) -> Incremental:
-        return self._bilinear(other, "hadamard")
+        return self._bilinear(other, Tensor.hadamard)
 
     def _recomputed(self, old: Tensor, new: Tensor) -> Incremental:
         """The change as new minus old, where values do not add up like whole numbers."""

@@ -187,11 +187,9 @@ def _incremental(spark, sf_dir):
     """The change of a contraction when lines come in."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber", F.floor("l_quantity").cast("long").alias("q"))
     entries = lambda f: tensor.from_entries(f, ["l_suppkey", "l_partkey"], "q")
-    sizes = table(spark, sf_dir, "part")
-    known = tensor.from_entries(sizes.crossJoin(table(spark, sf_dir, "supplier").select("s_suppkey")), ["s_suppkey", "p_partkey"], "p_size")
     x = tensor.Incremental(entries(rows.where("l_linenumber <= 1")), entries(rows.where("l_linenumber > 1")))
-    y = tensor.Incremental(known, tensor.zero(spark, 2))
-    return x.hadamard(y).contract([0, 1], [0]).delta.frame
+    y = tensor.Incremental(_sizes(spark, sf_dir), tensor.zero(spark, 1))
+    return x.joined(y, [(1, 0)], [0]).delta.frame
 
 
 # streams: a step for each day of events, elements are users
@@ -217,16 +215,17 @@ def _steps(spark: SparkSession, sf_dir: str, build: Callable[[Plan], Plan]) -> D
     return out
 
 
-_E = "(SELECT CAST(user_id AS BIGINT) c0, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) step FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-05')"
-_STEPS = "(SELECT CAST(range AS BIGINT) step FROM range(5))"
+_E = "(SELECT CAST(user_id AS BIGINT) c0, CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS BIGINT) step FROM events WHERE ts IS NOT NULL)"
+_LAST = f"(SELECT max(step) FROM {_E})"
+_STEPS = f"(SELECT CAST(unnest(range(0, {_LAST} + 1)) AS BIGINT) step)"
 
 
-@query("stream_delay", f"SELECT c0, CAST(count(*) AS BIGINT) mult, step + 1 AS step FROM {_E} WHERE step < 4 GROUP BY c0, step")
+@query("stream_delay", f"SELECT c0, CAST(count(*) AS BIGINT) mult, step + 1 AS step FROM {_E} WHERE step < {_LAST} GROUP BY c0, step")
 def _delay(spark, sf_dir):
     return _steps(spark, sf_dir, lambda s: Delay(s, "d"))
 
 
-_DIFF = f"SELECT c0, CAST(sum(m) AS BIGINT) mult, step FROM (SELECT c0, step, 1 m FROM {_E} UNION ALL SELECT c0, step + 1, -1 FROM {_E} WHERE step < 4) GROUP BY c0, step HAVING sum(m) <> 0"
+_DIFF = f"SELECT c0, CAST(sum(m) AS BIGINT) mult, step FROM (SELECT c0, step, 1 m FROM {_E} UNION ALL SELECT c0, step + 1, -1 FROM {_E} WHERE step < {_LAST}) GROUP BY c0, step HAVING sum(m) <> 0"
 _SUM = f"SELECT c0, CAST(count(*) AS BIGINT) mult, s.step step FROM {_E} e JOIN {_STEPS} s ON e.step <= s.step GROUP BY c0, s.step"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,10 +115,14 @@ class Tables(dict):
 
 
 class Structure:
-    """A finite model.  Carriers have the column ``elem``, functions ``a0.. r0..``, relations ``c0..``."""
+    """A finite model.  Carriers have the column ``elem``, functions ``a0.. r0..``, relations ``c0..``.
 
-    def __init__(self, spark: SparkSession, signature: Signature):
-        self.spark, self.signature = spark, signature
+    ``closed`` says that tables refer to elements of the carriers only, as foreign keys do; where it is not known,
+    formulas leave out the rows that do not.
+    """
+
+    def __init__(self, spark: SparkSession, signature: Signature, closed: bool = False):
+        self.spark, self.signature, self.closed = spark, signature, closed
         self.carriers: dict[str, DataFrame] = Tables()
         self.functions: dict[str, DataFrame] = Tables()
         self.relations: dict[str, DataFrame] = Tables()
@@ -143,18 +148,65 @@ class Structure:
         """The graph of a function, each argument once."""
         return self.functions[name] if name in self.functions else self.rows(self.signature.functions[name].columns)
 
+    def inside(self, frame: DataFrame, columns: Sequence[str], sorts: Sequence[str]) -> DataFrame:
+        """The rows whose columns are elements of their sorts; all rows of a closed model."""
+        if self.closed:
+            return frame
+        for column, sort in zip(columns, sorts, strict=True):
+            frame = frame.join(self.carrier(sort).select(F.col("elem").alias("_e")), F.col(column) == F.col("_e"), "left_semi")
+        return frame
+
+    def relation_inside(self, name: str) -> DataFrame:
+        """A relation's tuples of elements."""
+        symbol = self.signature.relations[name]
+        return self.inside(self.relation(name), symbol.columns, symbol.domain.sorts)
+
+    def function_inside(self, name: str) -> DataFrame:
+        """A function's graph over elements."""
+        symbol = self.signature.functions[name]
+        return self.inside(self.function(name), symbol.columns, [s for _, s in [*flat(symbol.domain), *flat(symbol.codomain)]])
+
+    def restricted(self) -> Structure:
+        """The model without what refers to an element that it lacks."""
+        out = self.copy()
+        for name in self.signature.functions:
+            out.functions[name] = self.function_inside(name)
+        for name in self.signature.relations:
+            out.relations[name] = self.relation_inside(name)
+        out.closed = True
+        return out
+
+    def size(self, sort: str) -> int:
+        """How many elements a sort has."""
+        return self.carrier(sort).count()
+
+    def sizes(self) -> DataFrame:
+        """Rows (kind, name, n): how many elements, values and tuples each sort, function and relation has."""
+        parts = [("sort", n, self.carrier(n)) for n in self.signature.sorts]
+        parts += [("function", n, self.function(n)) for n in self.signature.functions]
+        parts += [("relation", n, self.relation(n)) for n in self.signature.relations]
+        counts = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), F.lit(n).alias("name"), "n") for k, n, t in parts]
+        return reduce(DataFrame.unionByName, counts) if counts else self.spark.createDataFrame([], "kind string, name string, n long")
+
     def set_carrier(self, sort: str, frame: DataFrame, column: str) -> Structure:
-        """Takes the distinct values of a key column as the elements."""
+        """Takes the distinct values of a column as the elements; nulls are none."""
         if sort not in self.signature.sorts:
             raise KeyError(f"unknown sort {sort}")
-        self.carriers[sort] = frame.select(F.col(column).cast("long").alias("elem"))
+        self.carriers[sort] = frame.select(F.col(column).cast("long").alias("elem")).dropna().distinct()
         return self
 
-    def set_function(self, name: str, frame: DataFrame, arguments: Sequence[str], results: Sequence[str]) -> Structure:
-        """Takes a function's graph from columns; rows with a null are undefined values and go."""
+    def set_function(self, name: str, frame: DataFrame, arguments: Sequence[str], results: Sequence[str], unique: bool = False) -> Structure:
+        """Takes a function's graph from columns; rows with a null are undefined values and go.
+
+        Of several values at an argument the least stays; ``unique`` vouches that there are none.
+        """
         symbol = self.signature.functions[name]
         named = [F.col(c).cast("long").alias(n) for c, n in zip([*arguments, *results], symbol.columns, strict=True)]
-        self.functions[name] = frame.select(*named).dropna()
+        out = frame.select(*named).dropna()
+        if not unique:
+            least = out.groupBy(*symbol.arguments).agg(F.min(F.struct(*symbol.results)).alias("_r"))
+            out = least.select(*symbol.arguments, *[F.col("_r").getField(r).alias(r) for r in symbol.results])
+        self.functions[name] = out
         return self
 
     def set_relation(self, name: str, frame: DataFrame, columns: Sequence[str], distinct: bool = True) -> Structure:
@@ -182,7 +234,7 @@ class Structure:
         return self
 
     def copy(self) -> Structure:
-        out = Structure(self.spark, self.signature)
+        out = Structure(self.spark, self.signature, self.closed)
         out.carriers, out.functions, out.relations = Tables(self.carriers), Tables(self.functions), Tables(self.relations)
         return out
 
@@ -205,7 +257,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def commerce(spark: SparkSession, sf_dir: str) -> Structure:
-    """The driver's tables as a model."""
+    """The driver's tables as a model; their foreign keys hold."""
     sig = Signature()
     for s in ("Region", "Nation", "Customer", "Supplier", "Part", "Order", "Event", "User", "Document", "Level"):
         sig.add_sort(s)
@@ -213,7 +265,7 @@ def commerce(spark: SparkSession, sf_dir: str) -> Structure:
         sig.add_function(name, a, b)
     sig.add_function("label", "Document", Product((("quality", "Level"), ("toxic", "Level"))))
     sig.add_relation("lineitem", [("order", "Order"), ("part", "Part"), ("supplier", "Supplier")])
-    m = Structure(spark, sig)
+    m = Structure(spark, sig, closed=True)
     for sort, name, key in (("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("Order", "orders", "o_orderkey"), ("Event", "events", "event_id"), ("Document", "documents", "doc_id")):
         m.carriers[sort] = lambda name=name, key=key: table(spark, sf_dir, name).select(F.col(key).cast("long").alias("elem"))
     m.carriers["User"] = lambda: table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("elem")).distinct()
@@ -226,4 +278,4 @@ def commerce(spark: SparkSession, sf_dir: str) -> Structure:
 
 def _graph(m: Structure, name: str, source: str, key: str, values: list[str], sf_dir: str) -> DataFrame:
     own = Structure(m.spark, m.signature)
-    return own.set_function(name, table(m.spark, sf_dir, source), [key], values).functions[name]
+    return own.set_function(name, table(m.spark, sf_dir, source), [key], values, unique=True).functions[name]

@@ -22,16 +22,16 @@ class StreamContext:
     def __init__(self) -> None:
         self.timestep = 0
         self._state: dict[str, DataFrame] = {}
-        self._next: dict[str, DataFrame] = {}
+        self._next: dict[str, tuple[Plan, Structure, DataFrame]] = {}
 
     def execute(self, plan: Plan, model: Structure) -> DataFrame:
         """The consolidated result of a plan in this step."""
         shared_folder(model.spark)
-        return zset.consolidate(compiled(optimize(plan, model.signature), model, self._stream))
+        return zset.consolidate(compiled(optimize(plan, model.signature), model, lambda op, current: self._stream(op, current, model)))
 
     def step(self) -> int:
         """Ends the step; what plans have seen in it becomes the past."""
-        self._state |= {k: v.checkpoint() for k, v in self._next.items()}
+        self._state |= {k: new for k, (_, _, new) in self._next.items()}
         self._next = {}
         self.timestep += 1
         return self.timestep
@@ -45,19 +45,23 @@ class StreamContext:
         self.step()
         return out
 
-    def _stream(self, op: Plan, current: DataFrame) -> DataFrame:
+    def _stream(self, op: Plan, current: DataFrame, model: Structure) -> DataFrame:
+        """The new state is computed once a step, written, and what the operator gives is derived from it."""
         before = self._state.get(op.state)
+        known = self._next.get(op.state)
+        if known is not None and known[0] == op and known[1] is model:
+            new = known[2]
+        else:
+            whole = zset.union(before, current) if isinstance(op, Integrate) and before is not None else current
+            new = zset.consolidate(whole).checkpoint()
+            self._next[op.state] = op, model, new
         match op:
             case Delay():
-                self._next[op.state] = zset.consolidate(current)
-                return before if before is not None else current.limit(0)
+                return before if before is not None else new.limit(0)
             case Diff():
-                self._next[op.state] = zset.consolidate(current)
-                return zset.difference(current, before) if before is not None else current
+                return zset.difference(new, before) if before is not None else new
             case Integrate():
-                total = zset.consolidate(zset.union(before, current) if before is not None else current)
-                self._next[op.state] = total
-                return total
+                return new
         raise TypeError(op)
 
 
