@@ -7,7 +7,7 @@ partial aggregation and by adaptive skew joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortalis.sources.shared import shared_folder
@@ -44,3 +44,34 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     moved = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+class Equalities:
+    """Elements that are held equal: equations wait until ``settle`` works them into the classes."""
+
+    def __init__(self, spark: SparkSession):
+        self.classes = spark.createDataFrame([], "node long, root long")
+        self.pending = spark.createDataFrame([], "a long, b long")
+
+    def add(self, pairs: DataFrame, left: str = "a", right: str = "b") -> Equalities:
+        """Equations that wait."""
+        self.pending = self.pending.unionByName(pairs.select(F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")))
+        return self
+
+    def settle(self) -> Equalities:
+        """Merges classes by what waits; the least element of a class is its root."""
+        known = self.classes.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        self.classes = connected_components(known.unionByName(self.pending))
+        self.pending = self.pending.limit(0)
+        return self
+
+    def find(self, frame: DataFrame, column: str) -> DataFrame:
+        """The frame with each element of a column replaced by its root."""
+        found = self.classes.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        joined = frame.join(found, F.col(column) == F.col("_n"), "left")
+        return joined.select(*[F.coalesce("_r", column).alias(c) if c == column else F.col(c) for c in frame.columns])
+
+    def are_equal(self, a: int, b: int) -> bool:
+        """Whether two elements are in one class."""
+        roots = {r.node: r.root for r in self.classes.where(F.col("node").isin(a, b)).collect()}
+        return roots.get(a, a) == roots.get(b, b)

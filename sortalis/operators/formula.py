@@ -31,6 +31,7 @@ class Extent:
 
     vars: tuple[str, ...]
     frame: DataFrame
+    always: bool = False  # no variables, and known to be true
 
     def columns(self, names) -> DataFrame:
         names = list(names)
@@ -56,7 +57,7 @@ class Compiler:
 
     def truth(self, value: bool) -> Extent:
         one = self.model.spark.range(1 if value else 0)
-        return Extent((), one.select(F.lit(0).alias(UNIT)))
+        return Extent((), one.select(F.lit(0).alias(UNIT)), value)
 
     def sort_of(self, term: Term) -> Type:
         """The type of a term."""
@@ -135,6 +136,8 @@ class Compiler:
 
     def both(self, a: Extent, b: Extent) -> Extent:
         """The natural join of two extents."""
+        if a.always or b.always:
+            return b if a.always else a
         if not a.vars and not b.vars:
             return Extent((), a.frame.join(b.frame, UNIT))
         shared = [v for v in a.vars if v in b.vars]

@@ -9,6 +9,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from enum import Enum
+from itertools import product
 
 from pyspark.sql import functions as F
 
@@ -195,24 +196,33 @@ def branch_on_choice(tree: SearchTree, node: int, axioms: Sequence[Sequent]) ->
 
 
 def branch_on_value(tree: SearchTree, node: int) -> list[int]:
-    """A child for each value that the first undefined argument of a function may take; base sorts only."""
+    """A child for each value that the first undefined argument of a function may take.
+
+    Each column of the value is an element there is or a fresh one.  A fresh element stands for any that a larger
+    model may have, so if all children are refuted, so is the node.  Those with fewer fresh ones come first.
+    """
     model = tree.nodes[node].model
     for name, symbol in model.signature.functions.items():
-        if len(flat(symbol.codomain)) != 1:
-            continue
         at = model.undefined(name).orderBy(*symbol.arguments).limit(1).collect()
         if not at:
             continue
-        target = flat(symbol.codomain)[0][1]
+        choices = []
+        for _, sort in flat(symbol.codomain):
+            have = [r.elem for r in model.carrier(sort).orderBy("elem").toLocalIterator()]
+            choices.append([*((sort, e) for e in have), (sort, None)])
         made = []
-        for r in model.carrier(target).orderBy("elem").toLocalIterator():
-            child = model.copy().define(name, [(*tuple(at[0]), r.elem)])
-            made.append(tree.branch(node, f"{name}{tuple(at[0])} = {r.elem}", child))
-        if not made:  # no value to take: one must be made
-            top = model.carrier(target).agg(F.max("elem")).first()[0]
-            fresh = 0 if top is None else top + 1
-            child = model.copy().add(target, [fresh]).define(name, [(*tuple(at[0]), fresh)])
-            made.append(tree.branch(node, f"{name}{tuple(at[0])} = new", child))
+        for value in sorted(product(*choices), key=lambda v: sum(e is None for _, e in v)):
+            child, row, names = model.copy(), list(at[0]), []
+            for sort, e in value:
+                if e is None:
+                    top = child.carrier(sort).agg(F.max("elem")).first()[0]
+                    e = 0 if top is None else top + 1
+                    child.add(sort, [e])
+                    names.append("new")
+                else:
+                    names.append(str(e))
+                row.append(e)
+            made.append(tree.branch(node, f"{name}{tuple(at[0])} = {', '.join(names)}", child.define(name, [tuple(row)])))
         return made
     return []
 

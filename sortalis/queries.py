@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortalis.functions.predicates import Always, And, ColEqCol, ColEqConst, FuncEq, FuncEqConst, Never, Or
-from sortalis.lang.ast import App, Conj, Disj, Eq, Exists, Proj, Rel, Sequent, Truth, Var, record
+from sortalis.lang.ast import App, Conj, Disj, Eq, Exists, Falsity, Proj, Rel, Sequent, Truth, Var, record
+from sortalis.lang.elaborate import Workspace
+from sortalis.lang.pretty import show_theory
 from sortalis.operators import tensor, zset
 from sortalis.operators.chase import chase
-from sortalis.operators.check import new_violations, violations
+from sortalis.operators.check import check_theory, new_violations, violations
+from sortalis.operators.components import Equalities
 from sortalis.operators.formula import extent
+from sortalis.operators.solver import Budget, extend, solve
 from sortalis.plans.builder import Pattern, Query, filter_project, simple_filter
-from sortalis.plans.ops import Apply, ApplyField, Constant, Delay, Diff, Distinct, Empty, Filter, Integrate, Join, JoinWhere, Negate, Plan, Project, Scan, ScanRelation, Union, execute
+from sortalis.plans.ops import Apply, ApplyField, Constant, Delay, Diff, Distinct, Empty, Filter, Integrate, Join, JoinWhere, Negate, Plan, Project, Scan, ScanRelation, Union, execute, explain, optimize
+from sortalis.plans.planio import execute_table, to_table
+from sortalis.plans.views import View
+from sortalis.session import Session
+from sortalis.sources.shared import new_folder
+from sortalis.sources.store import FACTS, Names, Overlay, Patch, Store, facts, functions_at, signature_of, symbols
 from sortalis.sources.structure import Signature, Structure, commerce, table
 from sortalis.streaming.context import StreamContext
 
@@ -117,18 +127,20 @@ plan("difference_cancels", Union(_CUST, Negate(_CUST)), "SELECT CAST(0 AS BIGINT
 # patterns and tensors
 
 
-def _parts(spark: SparkSession, sf_dir: str, supplier: int) -> DataFrame:
-    return commerce(spark, sf_dir).relation("lineitem").where(F.col("c2") == supplier).select("c1").distinct()
+def _pairs(spark: SparkSession, sf_dir: str, returned: bool) -> DataFrame:
+    """(part, supplier) of the lines that came back, or of those that did not."""
+    came_back = F.col("l_returnflag") == "R"
+    return table(spark, sf_dir, "lineitem").where(came_back if returned else ~came_back).select(F.col("l_partkey").cast("long").alias("c0"), F.col("l_suppkey").cast("long").alias("c1"))
 
 
-_P = "SELECT CAST(l_partkey AS BIGINT) c1 FROM lineitem WHERE l_suppkey = {}"
+_BACK, _KEPT = ("SELECT DISTINCT CAST(l_partkey AS BIGINT) c0, CAST(l_suppkey AS BIGINT) c1 FROM lineitem WHERE " + w for w in ("l_returnflag = 'R'", "l_returnflag <> 'R'"))
 for _name, _op, _sql in (
-    ("pattern_union", tensor.pattern_union, f"{_P.format(1)} UNION {_P.format(2)}"),
-    ("pattern_intersect", tensor.pattern_intersection, f"{_P.format(1)} INTERSECT {_P.format(2)}"),
-    ("pattern_difference", tensor.pattern_difference, f"{_P.format(1)} EXCEPT {_P.format(2)}"),
-    ("pattern_symdiff", tensor.pattern_symmetric_difference, f"(({_P.format(1)} EXCEPT {_P.format(2)}) UNION ({_P.format(2)} EXCEPT {_P.format(1)}))"),
+    ("pattern_union", tensor.pattern_union, f"{_BACK} UNION {_KEPT}"),
+    ("pattern_intersect", tensor.pattern_intersection, f"{_BACK} INTERSECT {_KEPT}"),
+    ("pattern_difference", tensor.pattern_difference, f"{_BACK} EXCEPT {_KEPT}"),
+    ("pattern_symdiff", tensor.pattern_symmetric_difference, f"(({_BACK} EXCEPT {_KEPT}) UNION ({_KEPT} EXCEPT {_BACK}))"),
 ):
-    query(_name, _sql)(lambda spark, sf_dir, op=_op: op(_parts(spark, sf_dir, 1), _parts(spark, sf_dir, 2)))
+    query(_name, _sql)(lambda spark, sf_dir, op=_op: op(_pairs(spark, sf_dir, True), _pairs(spark, sf_dir, False)))
 
 
 def _quantities(spark: SparkSession, sf_dir: str) -> tensor.Tensor:
@@ -301,12 +313,12 @@ def _check_domain(spark, sf_dir):
     return _by_name(violations(commerce(spark, sf_dir), rule))
 
 
-@query("check_incremental", "SELECT CAST(c_custkey AS BIGINT) c FROM customer WHERE c_custkey % 10 = 3 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("check_incremental", "SELECT CAST(c_custkey AS BIGINT) c FROM customer WHERE c_acctbal < 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def _check_incremental(spark, sf_dir):
-    """The same for customers that are new."""
+    """The same where the customers in debt are the new ones."""
     model = commerce(spark, sf_dir)
     rule = Sequent((("c", "Customer"),), Truth(), Exists("o", "Order", Eq(App("order_cust", O), C)))
-    return _by_name(new_violations(model, rule, {"Customer": model.carrier("Customer").where("elem % 10 = 3")}))
+    return _by_name(new_violations(model, rule, {"Customer": table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("long").alias("elem"))}))
 
 
 # the chase
@@ -390,3 +402,324 @@ def _congruence(spark, sf_dir):
 @query("zset_consolidate", "SELECT CAST(l_suppkey AS BIGINT) c0, CAST(count(*) AS BIGINT) mult FROM lineitem GROUP BY 1")
 def _consolidate(spark, sf_dir):
     return zset.consolidate(zset.bag(table(spark, sf_dir, "lineitem"), [F.col("l_suppkey").cast("long")]))
+
+
+# formulas and tensors whose operators the queries above do not reach
+
+
+def _home(spark: SparkSession, sf_dir: str) -> Structure:
+    """The tables with a relation of customers and their nations."""
+    model = commerce(spark, sf_dir)
+    model.signature.add_relation("home", [("who", "Customer"), ("where", "Nation")])
+    return model.set_relation("home", table(spark, sf_dir, "customer"), ["c_custkey", "c_nationkey"], distinct=False)
+
+
+@query("formula_atom_terms", "SELECT CAST(o_orderkey AS BIGINT) o, CAST(c_nationkey AS BIGINT) n FROM orders JOIN customer ON o_custkey = c_custkey")
+def _atom_terms(spark, sf_dir):
+    return _by_name(extent(_home(spark, sf_dir), Rel("home", record(App("order_cust", O), N)), SORTS))
+
+
+_formula("formula_eq_vars", Eq(N, Var("m")), SORTS, "SELECT CAST(n_nationkey AS BIGINT) n, CAST(n_nationkey AS BIGINT) m FROM nation")
+_formula("formula_truth", Truth(), SORTS, "SELECT true AS holds")
+_formula("formula_falsity", Disj(()), SORTS, "SELECT false AS holds")
+
+
+@query("formula_dangling", "SELECT CAST(o_orderkey AS BIGINT) o, CAST(o_custkey AS BIGINT) c FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0")
+def _dangling(spark, sf_dir):
+    """Only customers out of debt are elements; orders of the others do not count."""
+    model = commerce(spark, sf_dir)
+    model.closed = False
+    model.set_carrier("Customer", table(spark, sf_dir, "customer").where("c_acctbal >= 0"), "c_custkey")
+    return _by_name(extent(model, Eq(App("order_cust", O), C), SORTS))
+
+
+_RN = "SELECT CAST(r_regionkey AS BIGINT) i0, CAST(n_nationkey AS BIGINT) i1, CAST(s AS BIGINT) i2, CAST(1 AS BIGINT) v FROM region, nation, (SELECT DISTINCT r_regionkey s FROM region)"
+
+
+@query("tensor_product_all", _RN)
+def _product_all(spark, sf_dir):
+    ones = lambda t, k: tensor.from_pattern(table(spark, sf_dir, t), [k])
+    return tensor.product_all(spark, [ones("region", "r_regionkey"), ones("nation", "n_nationkey"), ones("region", "r_regionkey")]).frame
+
+
+@query("tensor_sum_all", f"SELECT i0, i1, CAST(3 * v AS BIGINT) v FROM ({_Q})")
+def _sum_all(spark, sf_dir):
+    q = _quantities(spark, sf_dir)
+    return tensor.sum_all([q, q, q]).frame
+
+
+@query("model_sizes", " UNION ALL ".join(f"SELECT '{k}' kind, '{n}' AS name, CAST(count(*) AS BIGINT) n FROM {t}" for k, n, t in (
+    ("sort", "Region", "region"), ("sort", "Nation", "nation"), ("sort", "Customer", "customer"), ("sort", "Supplier", "supplier"), ("sort", "Part", "part"), ("sort", "Order", "orders"), ("sort", "Event", "events"),
+    ("sort", "User", "(SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)"), ("sort", "Document", "documents"), ("sort", "Level", "range(2)"), ("function", "nation_region", "nation"), ("function", "cust_nation", "customer"),
+    ("function", "supp_nation", "supplier"), ("function", "order_cust", "orders"), ("function", "event_user", "events"), ("function", "label", "labels WHERE quality IS NOT NULL AND toxic IS NOT NULL"), ("relation", "lineitem", f"({LI})"))))
+def _sizes_of(spark, sf_dir):
+    return commerce(spark, sf_dir).sizes()
+
+
+# plans as data
+
+_STORED = Filter(Join(Apply(Scan("Supplier"), "supp_nation", 0), Apply(Scan("Nation"), "nation_region", 0), ((1, 0),)), And(FuncEq("nation_region", 1, 3), Or(ColEqConst(3, 1), ColEqCol(1, 2))))
+_STORED_SQL = "SELECT CAST(s_suppkey AS BIGINT) c0, CAST(s_nationkey AS BIGINT) c1, CAST(n_nationkey AS BIGINT) c2, CAST(n_regionkey AS BIGINT) c3, CAST(1 AS BIGINT) mult FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+
+
+@query("plan_table_relational", _STORED_SQL)
+def _plan_table(spark, sf_dir):
+    """A plan written as a table of operators, read back and run."""
+    return execute_table(to_table(_STORED, spark), commerce(spark, sf_dir))
+
+
+@query("plan_table_tensor", "SELECT DISTINCT CAST(s_nationkey AS BIGINT) c0, CAST(1 AS BIGINT) mult FROM supplier")
+def _plan_tensor(spark, sf_dir):
+    return execute_table(to_table(Project(_STORED, (1,)), spark, "tensor"), commerce(spark, sf_dir), dialect="tensor")
+
+
+@query("plan_table_rows", "SELECT * FROM (VALUES (0, 'Scan', CAST([] AS INTEGER[])), (1, 'Apply', [0]), (2, 'Project', [1]), (3, 'Negate', [2]), (4, 'Union', [2, 3])) t(op, kind, inputs)")
+def _plan_rows(spark, sf_dir):
+    """Equal subplans are one row."""
+    return to_table(Union(_CUST, Negate(_CUST)), spark).select("op", "kind", "inputs")
+
+
+@query("plan_explain", "SELECT * FROM (VALUES (0, 'Project[0, 2]'), (1, '  Join[l#1 = r#0]'), (2, '    Apply[supp_nation(#0)]'), (3, '      Scan(Supplier)'), (4, '    Scan(Nation)')) t(line, body)")
+def _plan_explain(spark, sf_dir):
+    """What becomes of a function predicate over a cross join."""
+    shown = explain(optimize(Filter(Join(Scan("Supplier"), Scan("Nation")), FuncEq("supp_nation", 0, 1)), commerce(spark, sf_dir).signature))
+    return spark.createDataFrame(list(enumerate(shown.split("\n"))), "line int, body string")
+
+
+@query("stream_batch_reading", "SELECT CAST(user_id AS BIGINT) c0, CAST(count(*) AS BIGINT) mult FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def _batch_reading(spark, sf_dir):
+    """Without a stream context, stream operators hand their input on."""
+    read = Project(Apply(Scan("Event"), "event_user", 0), (1,))
+    return execute_table(to_table(Integrate(Diff(Delay(read, "a"), "b"), "c"), spark), commerce(spark, sf_dir))
+
+
+# checks and the chase
+
+
+@query("check_theory", "SELECT * FROM (SELECT 'busy' axiom, count(*) n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'placed', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)) WHERE n > 0")
+def _check_theory(spark, sf_dir):
+    """The axioms that fail, with the number of counterexamples."""
+    busy = Sequent((("c", "Customer"),), Truth(), Exists("o", "Order", Eq(App("order_cust", O), C)), "busy")
+    placed = Sequent((("c", "Customer"),), Truth(), Exists("n", "Nation", Eq(App("cust_nation", C), N)), "placed")
+    failed = check_theory(commerce(spark, sf_dir), [busy, placed]).failed
+    out = spark.createDataFrame([], "axiom string, n long")
+    for name, found in failed.items():
+        out = out.unionByName(found.frame.agg(F.count("*").alias("n")).select(F.lit(name).alias("axiom"), "n"))
+    return out
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> Structure:
+    """Nations and regions, with room for what the chase derives."""
+    sig, whole = Signature(), commerce(spark, sf_dir)
+    for s in ("Nation", "Region", "Supplier"):
+        sig.add_sort(s)
+    sig.add_function("nation_region", "Nation", "Region")
+    sig.add_function("supp_nation", "Supplier", "Nation")
+    sig.add_function("supp_region", "Supplier", "Region")
+    for r in ("supplied", "plain"):
+        sig.add_relation(r, [("nation", "Nation")])
+    model = Structure(spark, sig, closed=True)
+    model.carriers = {s: whole.carrier(s) for s in sig.sorts}
+    model.functions = {f: whole.function(f) for f in ("nation_region", "supp_nation")}
+    return model
+
+
+@query("chase_function", "SELECT CAST(s_suppkey AS BIGINT) a0, CAST(n_regionkey AS BIGINT) r0 FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _chase_function(spark, sf_dir):
+    """A function defined by an axiom: a supplier's region."""
+    rule = Sequent((("s", "Supplier"),), Truth(), Eq(App("supp_region", S), App("nation_region", App("supp_nation", S))))
+    return chase(_regions(spark, sf_dir), [rule])[0].function("supp_region")
+
+
+@query("chase_conj_disj", "SELECT 'supplied' relation, CAST(s_nationkey AS BIGINT) c0 FROM supplier GROUP BY ALL UNION ALL SELECT 'plain', CAST(s_nationkey AS BIGINT) FROM supplier GROUP BY ALL")
+def _conj_disj(spark, sf_dir):
+    """A conclusion with a conjunction, and with a disjunction, all parts of which the chase takes."""
+    here = App("supp_nation", S)
+    rule = Sequent((("s", "Supplier"),), Truth(), Conj((Rel("supplied", record(here)), Disj((Rel("plain", record(here)), Rel("supplied", record(here)))))))
+    out, _ = chase(_regions(spark, sf_dir), [rule])
+    return reduce(DataFrame.unionByName, [out.relation(r).select(F.lit(r).alias("relation"), "c0") for r in ("supplied", "plain")])
+
+
+# models in time
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> Structure:
+    whole = commerce(spark, sf_dir)
+    sig = Signature()
+    for s in ("Region", "Nation", "Customer"):
+        sig.add_sort(s)
+    sig.add_function("nation_region", "Nation", "Region")
+    sig.add_function("cust_nation", "Customer", "Nation")
+    model = Structure(spark, sig, closed=True)
+    model.carriers = {s: whole.carrier(s) for s in sig.sorts}
+    model.functions = {f: whole.function(f) for f in sig.functions}
+    return model
+
+
+def _without_region(spark: SparkSession, region: int) -> Patch:
+    return Patch(spark.createDataFrame([("elem", "Region", [region])], FACTS), spark.createDataFrame([], FACTS))
+
+
+_LEFT = "SELECT kind, symbol, CAST(count(*) AS BIGINT) n FROM (SELECT 'elem' kind, 'Region' symbol FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'elem', 'Nation' FROM nation UNION ALL SELECT 'elem', 'Customer' FROM customer UNION ALL SELECT 'func', 'nation_region' FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 'func', 'cust_nation' FROM customer) GROUP BY ALL"
+
+
+@query("patch_applied", _LEFT)
+def _patch(spark, sf_dir):
+    """A region goes, and with it the values that are that region."""
+    return facts(_without_region(spark, 2).applied(_nations(spark, sf_dir))).groupBy("kind", "symbol").agg(F.count("*").alias("n"))
+
+
+@query("patch_tensor", "SELECT CAST(n_nationkey AS BIGINT) i0, CAST(n_regionkey AS BIGINT) i1, CAST(-1 AS BIGINT) v FROM nation WHERE n_regionkey = 2")
+def _patch_tensor(spark, sf_dir):
+    """The same change of a function's graph as a tensor."""
+    return _without_region(spark, 2).completed(_nations(spark, sf_dir)).tensor("nation_region", 2).frame
+
+
+@query("overlay_edits", "SELECT CAST(n_nationkey AS BIGINT) a0, CAST(if(n_nationkey = 3, 0, n_regionkey) AS BIGINT) r0 FROM nation UNION ALL SELECT max(n_nationkey) + 1, 4 FROM nation")
+def _overlay(spark, sf_dir):
+    """A nation changes its region, and a new one comes."""
+    o = Overlay(_nations(spark, sf_dir))
+    new = o.add_elements("Nation")[0]
+    return o.set_values("nation_region", [(3, 0), (new, 4)]).read().function("nation_region")
+
+
+_VERSIONS = "SELECT CAST(version AS BIGINT) AS version, symbol, CAST(n AS BIGINT) n FROM (SELECT 1 AS version, 'Region' symbol, (SELECT count(*) FROM region) n UNION ALL SELECT 2, 'Region', (SELECT count(*) FROM region WHERE r_regionkey <> 2) UNION ALL SELECT 1, 'nation_region', (SELECT count(*) FROM nation) UNION ALL SELECT 2, 'nation_region', (SELECT count(*) FROM nation WHERE n_regionkey <> 2))"
+
+
+def _history(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with two versions; what is derived in the second is marked."""
+    model = _nations(spark, sf_dir)
+    store = Store(spark, new_folder(spark, "store"), model.signature)
+    store.commit(model, "all")
+    store.bind("whole")
+    later = _without_region(spark, 2).applied(model)
+    later.add("Region", [99])
+    store.commit(later, "without two", spark.createDataFrame([("elem", "Region", [99])], FACTS))
+    store.bind("part")
+    return store
+
+
+@query("store_versions", _VERSIONS.replace("WHERE r_regionkey <> 2) UNION", "WHERE r_regionkey <> 2) + 1 UNION"))
+def _store(spark, sf_dir):
+    """Both versions, by the names that are bound to them."""
+    store, out = _history(spark, sf_dir), []
+    for name in ("whole", "part"):
+        version = store.resolve(name)
+        rows = facts(store.checkout(version)).where("symbol in ('Region', 'nation_region')")
+        out.append(rows.groupBy("symbol").agg(F.count("*").alias("n")).select(F.lit(version).cast("long").alias("version"), "symbol", "n"))
+    return out[0].unionByName(out[1])
+
+
+@query("store_changes", "SELECT CAST(2 AS BIGINT) AS version, 'edb' source, 'gone' op, CAST(n AS BIGINT) n FROM (SELECT 1 + count(*) n FROM nation WHERE n_regionkey = 2) UNION ALL SELECT 2, 'idb', 'come', 1")
+def _changes(spark, sf_dir):
+    """What the second version changed, given and derived."""
+    return _history(spark, sf_dir).log.where("version = 2").groupBy("version", "source", "op").agg(F.count("*").alias("n"))
+
+
+@query("names_resolve", "SELECT 'suffix' how, CAST(n_nationkey AS BIGINT) id FROM nation WHERE n_name = (SELECT min(n_name) FROM nation) UNION ALL SELECT 'exact', CAST(n_nationkey AS BIGINT) FROM nation WHERE n_regionkey = 1")
+def _names(spark, sf_dir):
+    """Nations under their region's name: by the last part alone, and by whole paths."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = nations.select(F.col("n_nationkey").cast("long").alias("id"), F.array("r_name", "n_name").alias("path"), "n_regionkey", "n_name")
+    names = Names(rows.select("id", "path"))
+    first = rows.agg(F.min("n_name")).first()[0]
+    paths = [r.path for r in rows.where("n_regionkey = 1").select("path").collect()]
+    out = names.suffix([first]).select(F.lit("suffix").alias("how"), "id")
+    return reduce(DataFrame.unionByName, [names.exact(p).select(F.lit("exact").alias("how"), "id") for p in paths], out)
+
+
+@query("view_follows", "SELECT CAST(n_regionkey AS BIGINT) c0, CAST(count(*) AS BIGINT) mult FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2 GROUP BY 1")
+def _view(spark, sf_dir):
+    """Customers by region, taken along when a region goes."""
+    plan = Project(Apply(Apply(Scan("Customer"), "cust_nation", 0), "nation_region", 1), (2,))
+    return View(plan, _nations(spark, sf_dir)).follow(_without_region(spark, 2)).frame
+
+
+@query("schema_reflected", "SELECT * FROM (VALUES ('function', 'cust_nation'), ('function', 'nation_region')) t(kind, name)")
+def _schema(spark, sf_dir):
+    """The functions with a nation in them, asked of the schema's own table after a round trip."""
+    again = signature_of(symbols(spark, _nations(spark, sf_dir).signature))
+    rows = symbols(spark, again)
+    return functions_at(rows, "Nation").unionByName(functions_at(rows, "Nation", "result"))
+
+
+@query("equalities", "SELECT CAST(c_custkey AS BIGINT) c, CAST(min(c_custkey) OVER (PARTITION BY c_nationkey) AS BIGINT) root FROM customer")
+def _equalities(spark, sf_dir):
+    """Customers of one nation held equal, in two rounds."""
+    graph = commerce(spark, sf_dir).function("cust_nation")
+    other = graph.groupBy("r0").agg(F.max("a0").alias("b"))
+    pairs = graph.join(other, "r0").select(F.col("a0").alias("a"), "b")
+    e = Equalities(spark).add(pairs.where("a % 2 = 0")).settle().add(pairs.where("a % 2 = 1")).settle()
+    return e.find(graph.select(F.col("a0").alias("c"), F.col("a0").alias("root")), "root")
+
+
+# model search and the language
+
+
+@query("solver_forced", "SELECT CAST(r_regionkey AS BIGINT) a0, CAST((r_regionkey + 1) % (SELECT count(*) FROM region) AS BIGINT) r0 FROM region")
+def _solver_forced(spark, sf_dir):
+    """A total function that an axiom forces."""
+    sig, regions = Signature(["Region"]), commerce(spark, sf_dir).carrier("Region")
+    sig.add_function("next", "Region", "Region")
+    sig.add_relation("after", [("a", "Region"), ("b", "Region")])
+    n = regions.count()
+    model = Structure(spark, sig).set_carrier("Region", regions, "elem").set_relation("after", regions.selectExpr("elem a", f"(elem + 1) % {n} b"), ["a", "b"])
+    rule = Sequent((("x", "Region"), ("y", "Region")), Rel("after", record(X, Y)), Eq(App("next", X), Y), "next")
+    return extend(model, [rule], Budget(600, 100)).model.function("next")
+
+
+@query("solver_fresh", "SELECT CAST(0 AS BIGINT) a0, CAST(max(r_regionkey) + 1 AS BIGINT) r0 FROM region")
+def _solver_fresh(spark, sf_dir):
+    """No region will do, so the search makes one."""
+    sig = Signature(["One", "Region"])
+    sig.add_function("pick", "One", "Region")
+    sig.add_relation("bad", [("r", "Region")])
+    regions = commerce(spark, sf_dir).carrier("Region")
+    model = Structure(spark, sig).add("One", [0]).set_carrier("Region", regions, "elem").set_relation("bad", regions, ["elem"])
+    rule = Sequent((("x", "One"),), Rel("bad", record(App("pick", X))), Falsity(), "no")
+    return extend(model, [rule], Budget(600, 100)).model.function("pick")
+
+
+@query("solver_refuted", "SELECT 'unsat' outcome")
+def _solver_refuted(spark, sf_dir):
+    """A witness that may not be."""
+    sig = Signature(["Thing"])
+    sig.add_relation("odd", [("t", "Thing")])
+    some = Sequent((), Truth(), Exists("x", "Thing", Rel("odd", record(X))), "some")
+    none = Sequent((("x", "Thing"),), Rel("odd", record(X)), Falsity(), "none")
+    return spark.createDataFrame([(solve(Structure(spark, sig), [some, none], Budget(600, 100)).outcome.value,)], "outcome string")
+
+
+_TEXT = """
+theory Trains { Stop : Sort; Line : Sort; from : Line -> Stop; to : Line -> Stop; rides : [a: Stop, b: Stop] -> Prop;
+  direct : forall l : Line, a, b : Stop. l from = a /\\ l to = b |- [a: a, b: b] rides;
+  change : forall a, b, c : Stop. [a: a, b: b] rides, [a: b, b: c] rides |- [a: a, b: c] rides; }
+instance Valley : Trains = chase { w, x, y : Stop; red, blue : Line; red from = w; red to = x; blue from = x; blue to = y; }
+"""
+
+
+@query("language_chase", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT)), (0, 2), (1, 2)) t(c0, c1)")
+def _language(spark, sf_dir):
+    """A theory and an instance as text, elaborated and chased."""
+    w = Workspace(spark)
+    w.load(_TEXT)
+    return w.instances["Valley"].model.relation("rides")
+
+
+@query("language_round_trip", "SELECT 'Trains' AS name, 2 sorts, 2 functions, 1 relations, 2 axioms, true same")
+def _round_trip(spark, sf_dir):
+    """A theory printed and read again."""
+    first = Workspace(spark).load(_TEXT)[0]
+    again = Workspace(spark).load(show_theory(first))[0]
+    sig = again.signature
+    same = again.axioms == first.axioms and sig == first.signature
+    return spark.createDataFrame([(again.name, len(sig.sorts), len(sig.functions), len(sig.relations), len(again.axioms), same)], "name string, sorts int, functions int, relations int, axioms int, same boolean")
+
+
+@query("session_commands", "SELECT * FROM (VALUES (0, 'theory Trains, instance Valley'), (1, 'z : Stop'), (2, '4 of Stop, w, x, y, z'), (3, 'x and what refers to it is gone'), (4, 'relation rides: 1')) t(line, answer)")
+def _session(spark, sf_dir):
+    """Text and commands in a row; the last line of a listing stands for it."""
+    s = Session(spark)
+    answers = [s.run(x).replace("\n", ", ") for x in (_TEXT, ":add Valley z Stop", ":query Valley Stop", ":retract Valley x", ":inspect Valley")]
+    answers[-1] = answers[-1].split(", ")[-1]
+    return spark.createDataFrame(list(enumerate(answers)), "line int, answer string")

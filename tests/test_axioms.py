@@ -2,7 +2,7 @@
 
 import pytest
 
-from sortalis.lang.ast import App, Conj, Disj, Eq, Exists, Falsity, Rel, Sequent, Truth, Var, record
+from sortalis.lang.ast import App, Conj, Disj, Eq, Exists, Falsity, Proj, Rel, Sequent, Truth, Var, record
 from sortalis.lang.elaborate import AxiomViolation, DuplicateName, PartialFunction, TypeMismatch, UnknownName, Workspace
 from sortalis.lang.lexer import LanguageError, tokens
 from sortalis.lang.parser import parse
@@ -11,19 +11,20 @@ from sortalis.operators.chase import Chase, MaxIterationsExceeded, chase
 from sortalis.operators.check import border, check_theory, interior, new_violations, violations
 from sortalis.operators.formula import FormulaError, extent
 from sortalis.operators.solver import Budget, Outcome, Status, enumerate_models, solve
-from sortalis.sources.structure import Signature, Structure
-
-CLOSURE = """
-theory Graph { // edges as a relation
-  V : Sort;
-  Edge : [src: V, tgt: V] -> Prop;
-  Path : [src: V, tgt: V] -> Prop;
-  base : forall x, y : V. [src: x, tgt: y] Edge |- [src: x, tgt: y] Path;
-  step : forall x, y, z : V. [src: x, tgt: y] Path, [src: y, tgt: z] Path |- [src: x, tgt: z] Path;
+from sortalis.session import Session
+from sortalis.sources.structure import Product, Signature, Structure
+
+RIVERS = """
+theory Rivers { // which place's water passes which other
+  Place : Sort;
+  runs : [up: Place, down: Place] -> Prop;
+  sees : [by: Place, of: Place] -> Prop;
+  near : forall p, q : Place. [up: p, down: q] runs |- [by: q, of: p] sees;
+  far : forall p, q, r : Place. [by: q, of: p] sees, [up: q, down: r] runs |- [by: r, of: p] sees;
 }
-instance Chain : Graph = chase { a, b, c, d : V; [src: a, tgt: b] Edge; [src: b, tgt: c] Edge; [src: c, tgt: d] Edge; }
-instance Cycle : Graph = chase { a, b, c : V; [a, b] Edge; [b, c] Edge; [c, a] Edge; }
-instance Diamond : Graph = chase { t, l, r, b : V; [t, l] Edge; [t, r] Edge; [l, b] Edge; [r, b] Edge; }
+instance Brook : Rivers = chase { spring, mill, ford, weir, sea : Place; [up: spring, down: mill] runs; [up: mill, down: ford] runs; [up: ford, down: weir] runs; [weir, sea] runs; }
+instance Moat : Rivers = chase { gate, tower : Place; [gate, tower] runs; [tower, gate] runs; }
+instance Fork : Rivers = chase { north, south, east, town : Place; [north, town] runs; [south, town] runs; [east, south] runs; }
 """
 
 
@@ -31,15 +32,15 @@ def rows(frame):
     return sorted(map(tuple, frame.collect()))
 
 
-def test_transitive_closure(spark):
+def test_what_is_seen_downstream(spark):
     w = Workspace(spark)
-    w.load(CLOSURE)
-    assert rows(w.instances["Chain"].model.relation("Path")) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-    assert w.instances["Cycle"].model.relation("Path").count() == 9
-    assert w.instances["Diamond"].model.relation("Path").count() == 5
-    done = w.instances["Chain"].model
-    assert chase(done, w.theories["Graph"].axioms)[1] == 1
-    assert w.instances["Chain"].label("V", 2) == "c" and w.instances["Chain"].label("V", 9) == "V#9"
+    w.load(RIVERS)
+    assert rows(w.instances["Brook"].model.relation("sees")) == [(i, j) for i in range(5) for j in range(i)]
+    assert w.instances["Moat"].model.relation("sees").count() == 4
+    assert rows(w.instances["Fork"].model.relation("sees")) == [(1, 2), (3, 0), (3, 1), (3, 2)]
+    done = w.instances["Brook"].model
+    assert chase(done, w.theories["Rivers"].axioms)[1] == 1
+    assert w.instances["Brook"].label("Place", 2) == "ford" and w.instances["Brook"].label("Place", 9) == "Place#9"
 
 
 def test_reflexivity_and_its_rounds(spark):
@@ -103,35 +104,36 @@ def test_laws_of_a_product_domain_are_checked(spark):
 
 
 def test_disjunctive_conclusion(spark):
-    text = "theory T { I : Sort; done : [i: I] -> Prop; late : [i: I] -> Prop; dep : [i: I, on: I] -> Prop; ax : forall x, y : I. [i: x, on: y] dep |- [i: x] late \\/ [i: y] done; }"
+    text = "theory Lamps { Lamp : Sort; lit : [l: Lamp] -> Prop; dark : [l: Lamp] -> Prop; wired : [from: Lamp, to: Lamp] -> Prop; law : forall a, b : Lamp. [from: a, to: b] wired |- [l: b] lit \\/ [l: a] dark; }"
     w = Workspace(spark)
-    w.load(text + " instance Ok : T = { a, b : I; [i: a, on: b] dep; [i: b] done; }")
+    w.load(text + " instance Hall : Lamps = { p, q : Lamp; [from: p, to: q] wired; [l: p] dark; }")
     with pytest.raises(AxiomViolation) as e:
-        w.load("instance Bad : T = { a, b : I; [i: a, on: b] dep; a done; }")
-    assert list(e.value.report.failed) == ["ax"]
-    w.load("instance Both : T = chase { a, b : I; [i: a, on: b] dep; }")
-    m = w.instances["Both"].model
-    assert rows(m.relation("late")) == [(0,)] and rows(m.relation("done")) == [(1,)]
+        w.load("instance Attic : Lamps = { p, q : Lamp; [from: p, to: q] wired; p lit; }")
+    assert list(e.value.report.failed) == ["law"]
+    w.load("instance Yard : Lamps = chase { p, q : Lamp; [from: p, to: q] wired; }")
+    m = w.instances["Yard"].model
+    assert rows(m.relation("lit")) == [(1,)] and rows(m.relation("dark")) == [(0,)]
 
 
 def test_parameters_nesting_and_extension(spark):
     w = Workspace(spark)
     w.load("""
     namespace demo;
-    theory Net { P : Sort; T : Sort; pre : T -> P; }
-    theory (N : Net instance) Marking { token : Sort; at : token -> N/P; }
-    theory (X : Sort) Pointed { pt : Sort; to : pt -> X; }
-    theory Wide extends Net { Q : Sort; q : Q -> P; }
-    instance N0 : Net = { p, q : P; t : T; t pre = p; }
-    instance M0 : N0 Marking = { k : token; k at = N/q; }
-    instance X0 : N0/P Pointed = { z : pt; z to = p; }
-    query goal { ? : N0 Marking instance; }""")
-    assert rows(w.instances["M0"].model.function("at")) == [(0, 1)]
-    assert rows(w.instances["M0"].model.function("N/pre")) == [(0, 0)]
-    assert rows(w.instances["X0"].model.function("to")) == [(0, 0)]
-    assert set(w.theories["Wide"].signature.functions) == {"pre", "q"}
-    found = enumerate_models(w.goals["goal"].base, w.goals["goal"].theory.axioms, Budget(60, 50))
-    assert found.outcome == Outcome.FOUND and found.model.carrier("N/P").count() == 2
+    theory School { Room : Sort; Class : Sort; home : Class -> Room; }
+    theory (S : School instance) Tour { guest : Sort; visits : guest -> S/Room; }
+    theory (X : Sort) Marked { flag : Sort; on : flag -> X; }
+    theory Campus extends School { Gate : Sort; leads : Gate -> Room; }
+    instance North : School = { lab, gym : Room; third : Class; third home = lab; }
+    instance Monday : North Tour = { ann : guest; ann visits = S/gym; }
+    instance Flags : North/Room Marked = { red : flag; red on = lab; }
+    query open_day { ? : North Tour instance; }""")
+    assert rows(w.instances["Monday"].model.function("visits")) == [(0, 1)]
+    assert rows(w.instances["Monday"].model.function("North/home" if "North/home" in w.instances["Monday"].model.functions else "S/home")) == [(0, 0)]
+    assert rows(w.instances["Flags"].model.function("on")) == [(0, 0)]
+    assert set(w.theories["Campus"].signature.functions) == {"home", "leads"}
+    goal = w.goals["open_day"]
+    found = enumerate_models(goal.base, goal.theory.axioms, Budget(60, 50))
+    assert found.outcome == Outcome.FOUND and sorted(found.model.signature.sorts) == ["S/Class", "S/Room", "guest"]
 
 
 @pytest.mark.parametrize(
@@ -259,6 +261,68 @@ def test_solver(spark, text, want):
         assert result.tree.settled(0) == Status.SOLVED
 
 
+def test_a_larger_model_is_found(spark):
+    sig = Signature(["A", "B"])
+    sig.add_relation("bad", [("b", "B")])
+    sig.add_function("f", "A", "B")
+    base = Structure(spark, sig).add("A", [0]).add("B", [0]).assert_("bad", [(0,)])
+    no = Sequent((("x", "A"),), Rel("bad", record(App("f", Var("x")))), Falsity(), "no")
+    found = enumerate_models(base, [no], Budget(120, 50))
+    assert found.outcome == Outcome.FOUND and rows(found.model.function("f")) == [(0, 1)] and found.model.size("B") == 2
+    never = Sequent((("x", "A"), ("b", "B")), Eq(App("f", Var("x")), Var("b")), Falsity(), "never")
+    assert enumerate_models(base, [never], Budget(120, 50)).outcome == Outcome.UNSAT
+
+
+def test_a_record_value_is_found(spark):
+    sig = Signature(["A", "B"])
+    sig.add_function("f", "A", Product((("l", "B"), ("r", "B"))))
+    sig.add_relation("bad", [("b", "B")])
+    base = Structure(spark, sig).add("A", [0]).add("B", [0, 1]).assert_("bad", [(0,)])
+    no = Sequent((("x", "A"),), Rel("bad", record(Proj(App("f", Var("x")), "l"))), Falsity(), "no")
+    found = enumerate_models(base, [no], Budget(120, 50))
+    assert found.outcome == Outcome.FOUND and rows(found.model.function("f")) == [(0, 1, 0)]
+
+
+def test_rows_that_refer_to_no_element_do_not_count(spark):
+    sig = Signature(["A"])
+    sig.add_relation("R", [("x", "A"), ("y", "A")])
+    sig.add_function("g", "A", "A")
+    m = Structure(spark, sig).add("A", [0, 1]).assert_("R", [(0, 1), (0, 9)]).define("g", [(0, 1), (1, 7)])
+    assert rows(extent(m, Rel("R", record(X, Y)), {"x": "A", "y": "A"}).columns(["x", "y"])) == [(0, 1)]
+    assert rows(extent(m, Eq(App("g", X), Y), {"x": "A", "y": "A"}).columns(["x", "y"])) == [(0, 1)]
+    frame = spark.createDataFrame([(5, 1), (5, 2), (None, 3)], "k long, v long")
+    n = Structure(spark, sig).set_carrier("A", frame, "k").set_function("g", frame, ["k"], ["v"])
+    assert rows(n.carrier("A")) == [(5,)] and rows(n.function("g")) == [(5, 1)]
+
+
+def test_new_elements_in_either_place(spark):
+    sig = Signature(["A"])
+    sig.add_relation("R", [("x", "A"), ("y", "A")])
+    m = Structure(spark, sig).add("A", [0, 1, 2]).assert_("R", [(0, 1), (1, 2), (2, 0), (0, 0), (2, 1)])
+    sym = Sequent((("x", "A"), ("y", "A")), Rel("R", record(X, Y)), Rel("R", record(Y, X)), "sym")
+    new = {"A": spark.createDataFrame([(2,)], "elem long")}
+    want = [r for r in rows(violations(m, sym).columns(["x", "y"])) if 2 in r]
+    assert rows(new_violations(m, sym, new).columns(["x", "y"])) == want and want
+
+
+def test_session(spark, tmp_path):
+    s = Session(spark, f"file://{tmp_path}")
+    assert s.run("theory Roads { Town : Sort; road : [a: Town, b: Town] -> Prop; back : forall a, b : Town. [a: a, b: b] road |- [a: b, b: a] road; }") == "theory Roads"
+    assert s.run("instance Vale : Roads = { ash, elm : Town; }") == "instance Vale"
+    assert s.run(":ls") == "theory Roads\ninstance Vale : Roads"
+    assert s.run(":add Vale oak Town") == "oak : Town" and s.run(":add Vale oak Town").startswith("error")
+    assert s.run(":assert Vale road ash oak") == "road(ash, oak)" and s.run(":assert Vale road ash").startswith("error")
+    assert s.run(":query Vale Town") == "3 of Town\nash\nelm\noak"
+    assert "relation road: 2" in s.run(":chase Vale") and s.run(":explain Vale Town") == "Scan(Town)"
+    assert s.run(":compile Vale Town").endswith("3 entries")
+    assert s.run(":ci Vale as found") == "version 1" and s.run(":commit Vale").startswith("error")
+    assert s.run(":retract Vale oak") and "relation road: 0" in s.run(":inspect Vale")
+    assert s.run(":commit Vale less") == "version 2" and s.run(":log Vale") == "1 as found\n2 less"
+    assert s.run(":solve Roads 60000").startswith("found") and s.run(":extend Vale Roads 60000").startswith("found")
+    assert s.run(":what").startswith("error") and s.run(":query Vale").startswith("error: :query takes") and ":solve" in s.run(":help")
+    assert s.run(":reset") == "reset" and s.run(":list") == ""
+
+
 def test_search_tree_and_budgets(spark):
     m = Structure(spark, Signature(["A"]))
     from sortalis.operators.solver import SearchTree

@@ -10,7 +10,9 @@ from sortalis.functions.predicates import Always, And, ColEqCol, ColEqConst, Fun
 from sortalis.operators import zset
 from sortalis.plans.builder import Pattern, Query, filter_project, simple_filter
 from sortalis.plans.ops import Apply, ApplyField, Constant, Delay, Distinct, Empty, Filter, Join, JoinWhere, Negate, PlanError, Project, Scan, ScanRelation, StreamContextRequired, Union, arity, execute, explain, optimize
+from sortalis.plans.views import View, change
 from sortalis.plans.planio import InstantaneousCycle, check_cycles, execute_table, from_table, to_table
+from sortalis.sources.store import diff
 from sortalis.sources.structure import Product, Signature, Structure
 
 
@@ -215,3 +217,39 @@ def test_explain_shows_the_tree(model):
 
 def test_unknown_tables_are_empty(model):
     assert execute(Scan("nothing"), model).isEmpty() and execute(ScanRelation("nothing"), model).isEmpty()
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=list(HealthCheck))
+@given(plan=plans())
+def test_views_follow_patches(model, plan):
+    new = model.copy().add("A", [5]).define("f", [(4, 2), (5, 3)]).assert_("R", [(5, 3), (3, 3)])
+    new.relations["R"] = new.relations["R"].where("c0 <> 2")
+    new.functions["f"] = new.functions["f"].where("a0 <> 1")
+    moved = change(optimize(plan, model.signature), model, new, diff(model, new))
+    got = zset.consolidate(zset.union(execute(plan, model), moved))
+    assert bag(got) == bag(execute(plan, new))
+
+
+def test_a_view_is_kept(model):
+    plan = Distinct(Project(Apply(Scan("A"), "f", 0), (1,)))
+    view = View(plan, model)
+    assert bag(view.frame) == {(2,): 1, (3,): 1}
+    patch = diff(model, model.copy().define("f", [(4, 3)]))
+    patch.gone = model.spark.createDataFrame([("elem", "A", [1])], patch.gone.schema)
+    assert bag(view.follow(patch).frame) == {(3,): 1}
+
+
+def physical(spark, frame):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["filter_func_eq", "join_predicate", "join_on_func", "query_builder", "tensor_incremental", "check_incremental"])
+def test_no_cartesian_products(spark, sf_dir, name):
+    from sortalis.queries import QUERIES
+
+    assert "CartesianProduct" not in physical(spark, QUERIES[name](spark, sf_dir))
+    assert "NestedLoop" not in physical(spark, QUERIES[name](spark, sf_dir))

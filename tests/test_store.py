@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sortalis.lang.ast import Exists, Rel, Sequent, Truth, Var, record
-from sortalis.operators.components import connected_components
-from sortalis.sources.store import Names, Overlay, Store, apply_checked, diff, facts, initial, model_of, symbols
+from sortalis.operators.components import Equalities, connected_components
+from sortalis.sources.store import FACTS, Names, Overlay, Patch, Store, apply_checked, diff, facts, functions_at, initial, model_of, signature_of, symbols
 from sortalis.sources.structure import Product, Signature, Structure
 
 SIG = Signature(["A", "B"])
@@ -61,11 +62,55 @@ def test_store(spark, tmp_path):
     assert s.checkout_checked([], 1)[1]
 
 
+def test_what_refers_to_a_gone_element_goes(spark):
+    old = base(spark)
+    gone = Patch(spark.createDataFrame([("elem", "A", [1])], FACTS), spark.createDataFrame([], FACTS))
+    new = gone.applied(old)
+    assert rows(new) == [("elem", "A", (2,)), ("elem", "B", (7,)), ("elem", "B", (8,)), ("rel", "R", (2, 8))]
+    whole = gone.completed(old)
+    assert rows(whole.applied(old)) == rows(new) and rows(whole.inverted().applied(new)) == rows(old)
+    assert sorted(map(tuple, whole.tensor("R", 2).frame.collect())) == [(1, 7, -1)] and not whole.grows() and whole.inverted().grows()
+
+
+def test_edits_of_elements_and_values(spark):
+    o = Overlay(base(spark))
+    assert list(o.add_elements("A", 3)) == [3, 4, 5] and list(o.add_elements("A")) == [6]
+    o.set_values("f", [(1, 8, 8), (3, 7, 7)]).retract_elements("B", [7])
+    got = o.read()
+    assert sorted(r.elem for r in got.carrier("A").collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(map(tuple, got.function("f").collect())) == [(1, 8, 8)] and sorted(map(tuple, got.relation("R").collect())) == [(2, 8)]
+
+
+def test_bindings_and_lost_writers(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store", SIG)
+    s.commit(base(spark), "first")
+    s.bind("good")
+    facts(base(spark).add("A", [77])).withColumn("op", F.lit("come")).withColumn("source", F.lit("edb")).write.partitionBy("source").parquet(f"file://{tmp_path}/store/facts/version=2/batch=lost")
+    assert s.head == 1 and rows(s.checkout()) == rows(base(spark))
+    s.commit(base(spark).add("A", [3]), "second")
+    assert rows(s.checkout()) == rows(base(spark).add("A", [3])) and s.resolve("good") == 1
+    s.bind("good")
+    assert s.resolve("good") == 2 and s.resolve("good", 1) == 1 and s.resolve("bad") is None
+
+
+def test_equalities(spark):
+    pairs = lambda *p: spark.createDataFrame(list(p), "a long, b long")
+    e = Equalities(spark).add(pairs((5, 4), (7, 8)))
+    assert not e.are_equal(5, 4) and e.pending.count() == 2
+    e.settle().add(pairs((4, 3), (8, 8))).settle()
+    assert e.are_equal(5, 3) and e.are_equal(9, 9) and not e.are_equal(5, 7) and e.pending.count() == 0
+    assert sorted(r.a for r in e.find(pairs((5, 0), (8, 0), (9, 0)), "a").collect()) == [3, 7, 9]
+
+
 def test_names(spark):
     n = Names(spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["x", "c"]), (3, ["c"])], "id long, path array<string>"))
     assert n.resolve(["c"]) == [3] and n.resolve(["b", "c"]) == [1] and n.resolve(["q"]) == []
     assert sorted(r.id for r in n.suffix(["c"]).collect()) == [1, 2, 3]
     assert symbols(spark, SIG).count() == 2 + 3 + 2
+    again = signature_of(symbols(spark, SIG))
+    assert (sorted(again.sorts), again.functions, again.relations) == (SIG.sorts, SIG.functions, SIG.relations)
+    assert sorted(map(tuple, functions_at(symbols(spark, SIG), "B", "result").collect())) == [("function", "f")]
+    assert n.lookup(["c"]) == ("unique", [3]) and n.lookup(["q"]) == ("unknown", []) and Names(n.frame.where("id <> 3")).lookup(["c"]) == ("ambiguous", [1, 2])
 
 
 def test_components(spark):
