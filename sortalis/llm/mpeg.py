@@ -2,7 +2,7 @@
 
 The reader finds frames as a player does: it skips an ID3v2 tag, takes a header only where the next
 frame's header follows (or the stream ends), and resynchronises byte by byte after damage.  It parses
-ID3v2 and ID3v1 tags and Xing, Info and VBRI tables, verifies the CRC-16 of protected frames, and
+ID3v2 and ID3v1 tags and Xing, Info and VBRI tables, verifies the CRC-16 of protected frames of all layers, and
 gives the exact duration (samples over sample rate) and the offset of every frame for seeking.
 
 The writer makes MPEG-1 layer III, 48 kHz, mono, protected frames.  Their side information is zero, so
@@ -27,7 +27,7 @@ from fractions import Fraction
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sortalis.llm.textcols import slices
+from sortalis.llm.textcols import slices, text_buffer
 from sortalis.sources.shared import written
 
 #: Fixed values of the format: kbit/s by index for (version 1, layers 1, 2, 3) and (version 2, layers 1, 2 and 3).
@@ -56,6 +56,15 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int, crc: int = 0xFFFF) -> int:
+    """The checksum of the first bits of some bytes."""
+    crc = crc16(data[: bits // 8], crc)
+    for k in range(bits % 8):
+        top = crc >> 15 ^ data[bits // 8] >> 7 - k & 1
+        crc = (crc << 1 ^ (0x8005 if top & 1 else 0)) & 0xFFFF
+    return crc
+
+
 def _crc_entry(byte: int) -> int:
     value = byte << 8
     for _ in range(8):
@@ -79,6 +88,7 @@ class Header:
     samples: int
     side: int  # bytes of side information
     mono: bool
+    bound: int  # the first subband that both channels share, 32 without joint stereo
 
 
 _HEADERS: dict[bytes, Header | None] = {}
@@ -109,7 +119,41 @@ def _parsed(four: bytes) -> Header | None:
         samples = 576 if layer == 3 and version == 2 else 1152
         size = samples // 8 * 1000 * kbps // hz + padding
     side = 0 if layer != 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
-    return Header(version, layer, not four[1] & 1, kbps, hz, size, samples, side, mono)
+    bound = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, kbps, hz, size, samples, side, mono, bound)
+
+
+#: Fixed values of the format: layer II, bits of the allocation field and how many subbands have it, by table.
+ALLOCATION = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "2": ((4, 4), (3, 7), (2, 19))}
+
+
+def _allocation(head: Header) -> list[int]:
+    """The bits of each subband's allocation field in layer II."""
+    each = head.kbps if head.mono else head.kbps // 2
+    if head.version == 2:
+        table = "2"
+    elif each in (32, 48):
+        table = "d" if head.sample_rate == 32_000 else "c"
+    else:
+        table = "a" if head.sample_rate == 48_000 or each <= 80 else "b"
+    return [bits for bits, n in ALLOCATION[table] for _ in range(n)]
+
+
+def checked_bits(head: Header, body: bytes) -> int:
+    """How many bits after a frame's checksum it covers: side information, allocation, and in layer II scale factor selection."""
+    channels = 1 if head.mono else 2
+    if head.layer == 3:
+        return 8 * head.side
+    if head.layer == 1:
+        return 4 * (32 if head.mono else min(32, head.bound) * 2 + max(0, 32 - head.bound))
+    number, at, selected = int.from_bytes(body[6:40].ljust(34, b"\0"), "big"), 0, 0
+    for subband, bits in enumerate(_allocation(head)):
+        shared = channels == 2 and subband >= head.bound
+        for _ in range(1 if shared else channels):
+            value = number >> 34 * 8 - at - bits & (1 << bits) - 1
+            selected += (channels if shared else 1) * (value > 0)
+            at += bits
+    return at + 2 * selected
 
 
 @dataclass
@@ -151,20 +195,30 @@ def _synchsafe(four: bytes) -> int:
 
 
 def _id3v2(data: bytes, tags: dict[str, str]) -> int:
-    """Reads the text frames of a leading tag; returns its size."""
+    """Reads the text frames of a leading tag of version 2.2, 2.3 or 2.4; returns its size."""
     if len(data) < 10 or data[:3] != b"ID3" or data[3] == 0xFF or max(data[6:10]) > 127:
         return 0
-    end = min(len(data), 10 + _synchsafe(data[6:10]))
-    at = 10
-    while at + 10 <= end and data[at] and data[3] >= 3:
-        size = _synchsafe(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : min(end, at + 10 + size)]
-        if name.startswith("T") and body:
-            coding = ("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0] if body[0] < 4 else 0]
-            parts = body[1:].decode(coding, "replace").rstrip("\0").split("\0")
-            tags[f"TXXX:{parts[0]}" if name == "TXXX" and len(parts) > 1 else name] = parts[-1]
-        at += 10 + size
-    return 10 + _synchsafe(data[6:10]) + (10 if data[5] & 0x10 else 0)
+    version, flags, size = data[3], data[5], _synchsafe(data[6:10])
+    body = data[10 : 10 + size]
+    if flags & 0x80 and version < 4:  # a zero byte stands after each 0xFF that could be taken for a frame
+        body = body.replace(b"\xff\0", b"\xff")
+    at = 0
+    if flags & 0x40 and version >= 3 and len(body) >= 4:
+        at = _synchsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    head, width = (6, 3) if version == 2 else (10, 4)
+    while version in (2, 3, 4) and at + head <= len(body) and body[at]:
+        size_of = body[at + width : at + 2 * width]
+        length = _synchsafe(size_of) if version == 4 else int.from_bytes(size_of, "big")
+        name, text = body[at : at + width].decode("latin-1"), body[at + head : at + head + length]
+        if version == 4 and body[at + 9] & 3:  # of a frame's own: unsynchronised, with a length before the data
+            text = text[4:] if body[at + 9] & 1 else text
+            text = text.replace(b"\xff\0", b"\xff") if body[at + 9] & 2 else text
+        if name.startswith("T") and text:
+            coding = ("latin-1", "utf-16", "utf-16-be", "utf-8")[text[0] if text[0] < 4 else 0]
+            parts = text[1:].decode(coding, "replace").rstrip("\0").split("\0")
+            tags[f"{name}:{parts[0]}" if name in ("TXXX", "TXX") and len(parts) > 1 else name] = parts[-1]
+        at += head + length
+    return 10 + size + (10 if flags & 0x10 else 0)
 
 
 def _id3v1(data: bytes, tags: dict[str, str]) -> int:
@@ -219,7 +273,7 @@ def parse(data: bytes) -> Stream:
         if not out.headers and not out.table and head.layer == 3 and (table := _table(body, head)):
             out.table = table
         else:
-            if head.protected and head.layer == 3 and crc16(body[2:4] + body[6 : 6 + head.side]) != int.from_bytes(body[4:6], "big"):
+            if head.protected and crc16_bits(body[6:].ljust(64, b"\0"), checked_bits(head, body), crc16(body[2:4])) != int.from_bytes(body[4:6], "big"):
                 out.crc_errors += 1
             out.offsets.append(at)
             out.headers.append(head)
@@ -268,7 +322,8 @@ def store(payload: bytes) -> bytes:
 def payload(data: bytes, stream: Stream | None = None) -> bytes:
     """The bytes stored in a stream by ``store``; empty if the tag is missing."""
     stream = stream or parse(data)
-    length = int(stream.tags.get("TXXX:payload_bytes", 0))
+    said = stream.tags.get("TXXX:payload_bytes", "")
+    length = int(said) if said.isascii() and said.isdigit() and len(said) < 19 else 0
     return b"".join(data[a:b] for a, b in stream.bodies)[:length]
 
 
@@ -283,7 +338,9 @@ def stored(docs: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+                raw, offsets = text_buffer(part.column("text"))
+                whole = raw.tobytes()
+                texts = [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 media = [store(padded(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(media, pa.binary()), pa.array(list(map(len, texts)), pa.int64())], names=["doc_id", "media", "n_bytes"])
 

@@ -83,3 +83,52 @@ def test_documents(name, request):
 
 def test_no_rows(no_docs):
     assert media_features(no_docs).count() == 0
+
+
+def serial_crc(bits):
+    """Bit by bit, as the format's text has it."""
+    crc = 0xFFFF
+    for bit in bits:
+        top = (crc >> 15) ^ bit
+        crc = (crc << 1) & 0xFFFF ^ (0x8005 if top else 0)
+    return crc
+
+
+def bits_of(data):
+    return [b >> 7 - k & 1 for b in data for k in range(8)]
+
+
+# layer I mono (32 fields of 4 bits), layer I joint stereo with bound 8 (8 * 2 + 24), layer II mono 64 kbit/s at 48 kHz
+# with nothing allocated (11 * 4 + 12 * 3 + 4 * 2), the same with the first field set (2 bits more), layer II stereo 384 at 44.1 kHz
+@pytest.mark.parametrize(
+    ("four", "first", "covered"),
+    [(b"\xff\xfe\x44\xc0", b"\x11\x11", 128), (b"\xff\xfe\x44\x50", b"\x35\x71", 160), (b"\xff\xfc\x44\xc0", b"\0\0", 88), (b"\xff\xfc\x44\xc0", b"\x40\0", 90), (b"\xff\xfc\xe0\x00", b"\0\0", 2 * (11 * 4 + 12 * 3 + 7 * 2))],
+)
+def test_checksums_of_layers_one_and_two(four, first, covered):
+    head = header(four)
+    assert head.protected
+    side = first + bytes(40)
+    crc = serial_crc(bits_of(four[2:4]) + bits_of(side)[:covered])
+    frame = (four + crc.to_bytes(2, "big") + side).ljust(head.size, b"\0")[: head.size]
+    assert parse(frame * 3).crc_errors == 0 and len(parse(frame * 3).offsets) == 3
+    broken = bytearray(frame)
+    broken[6] ^= 8
+    assert parse(bytes(broken) + frame * 2).crc_errors == 1
+
+
+def test_tags_of_all_versions():
+    frame = b"\xff\xfb\x90\x64" + bytes(413)
+    size = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    two = b"TT2" + (5).to_bytes(3, "big") + b"\0Song"
+    three = (6).to_bytes(4, "big") + bytes(6) + b"TIT2" + (5).to_bytes(4, "big") + b"\0\0" + b"\0Song"
+    four = size(6) + b"\1\0" + b"TIT2" + size(5) + b"\0\0" + b"\3Song"
+    odd = b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + b"\0a\xff\0\xe0"
+    for version, flags, body, want in ((2, 0, two, {"TT2": "Song"}), (3, 0x40, three, {"TIT2": "Song"}), (4, 0x40, four, {"TIT2": "Song"}), (3, 0x80, odd, {"TIT2": "a\xff\xe0"})):
+        stream = parse(b"ID3" + bytes([version, 0, flags]) + size(len(body)) + body + frame * 2)
+        assert stream.tags == want and len(stream.offsets) == 2 and not stream.skipped
+
+
+def test_a_foreign_payload_tag_is_no_payload():
+    tag = b"TXXX" + bytes([0, 0, 0, 19]) + b"\0\0" + b"\0payload_bytes\0soon"
+    media = b"ID3\4\0\0" + bytes([0, 0, 0, len(tag)]) + tag + store(b"abc")[34:]
+    assert parse(media).tags == {"TXXX:payload_bytes": "soon"} and payload(media) == b""
