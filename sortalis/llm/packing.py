@@ -7,7 +7,8 @@ tiers, and with a cut of one where none fits, so that windows come out exactly f
 then dealt to step groups of equal token counts, largest first to the group with the fewest tokens.
 
 Each task packs what it reads, so nothing is shuffled.  What does not fill a window goes on to the
-task's next rows; a task pads its last window only.
+task's next rows; a task pads its last window only.  Numbers of sequences and groups, and which documents share
+one, follow how the rows are split into tasks.
 
 Defined cases: a null or empty text is one end id; rows are kept apart even if they repeat or have
 no doc_id; an empty table gives no row; other columns are ignored.
@@ -19,6 +20,7 @@ import heapq
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +82,17 @@ class Packer:
                 return
 
 
+def balanced(sizes: list[int], group_tokens: int) -> list[int]:
+    """A group number for each of some descending sizes: each goes to the group that has least so far."""
+    heap = [(0, g) for g in range(-(-sum(sizes) // group_tokens))]
+    out = []
+    for size in sizes:
+        load, group = heap[0]
+        heapq.heapreplace(heap, (load + size, group))
+        out.append(group)
+    return out
+
+
 def _padded(tokens: int, longest: int) -> int:
     """The length a sequence is stored at: itself if a power of two, else the longest tier."""
     return tokens if tokens & (tokens - 1) == 0 else longest
@@ -96,16 +109,15 @@ def packed(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS,
 
         def emit(windows: list[tuple[int, list[tuple[int, int, int]]]]) -> pa.RecordBatch:
             nonlocal sequences, groups
-            windows.sort(key=lambda w: -sum(p[0] for p in w[1]))
-            total = sum(p[0] for _, w in windows for p in w)
-            heap = [(0, base + groups + i) for i in range(-(-total // group_tokens))]
-            groups += len(heap)
+            windows.sort(key=lambda w: (w[0], -sum(p[0] for p in w[1])))
+            step: list[int] = []
+            for _, own in groupby(windows, key=lambda w: w[0]):
+                dealt = balanced([sum(p[0] for p in w) for _, w in own], group_tokens)
+                step += [base + groups + g for g in dealt]
+                groups += max(dealt) + 1
             rows: list[tuple] = []
-            for tier, window in windows:
-                size = sum(p[0] for p in window)
-                load, group = heapq.heappop(heap)
-                heapq.heappush(heap, (load + size, group))
-                at = 0
+            for (tier, window), group in zip(windows, step, strict=True):
+                size, at = sum(p[0] for p in window), 0
                 for length, document, start in window:
                     doc_id, ids = kept[document]
                     crc = zlib.crc32(ids[start : start + length].astype("<u4").tobytes())

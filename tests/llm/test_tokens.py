@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sortalis.llm.encoder import Encoder
-from sortalis.llm.packing import packed
+from sortalis.llm.packing import TIERS, Packer, balanced, packed
 from sortalis.llm.token_file import TokenFile, read_token_files, write_token_files
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -142,5 +142,56 @@ def test_step_groups_are_balanced(small):
     assert max(loads.values()) <= 8192 + 1024
 
 
+def test_groups_are_even():
+    random = np.random.default_rng(4)
+    for n in (1, 7, 300):
+        sizes = sorted(random.integers(1, 1025, n).tolist(), reverse=True)
+        loads = np.bincount(balanced(sizes, 8192), weights=sizes)
+        assert loads.max() - loads.min() <= sizes[0] and len(loads) == -(-sum(sizes) // 8192) and loads.min() > 0
+
+
+def brute_windows(pool, tiers):
+    """The packing by plain lists: longest rest first, then the largest that fits the gap, or a cut of the shortest."""
+    out = []
+    pool = sorted(pool)
+    while pool:
+        first = pool.pop()
+        tier = min(t for t in tiers if t >= first[0])
+        window, gap = [first], tier - first[0]
+        while gap and pool:
+            fitting = [p for p in pool if p[0] <= gap]
+            if fitting:
+                piece = max(fitting)
+                pool.remove(piece)
+            else:
+                length, document, start = pool.pop(0)
+                piece = (gap, document, start)
+                pool = sorted([*pool, (length - gap, document, start + gap)])
+            window.append(piece)
+            gap -= piece[0]
+        out.append((tier, window))
+    return out
+
+
+def test_windows_equal_brute_force():
+    random = np.random.default_rng(6)
+    for n in (0, 1, 5, 120):
+        tokens = random.integers(1, 5000, n).tolist()
+        packer, full = Packer(TIERS), 0
+        for d, t in enumerate(tokens):
+            full += len(packer.add(d, t))
+        assert full == sum(t // 1024 for t in tokens)
+        want = brute_windows([(t % 1024, d, t // 1024 * 1024) for d, t in enumerate(tokens) if t % 1024], TIERS)
+        assert list(packer.windows(last=True)) == want
+        assert all(sum(p[0] for p in w) == tier for tier, w in want[:-1])
+
+
+def test_a_group_has_one_tier(small):
+    tiers = defaultdict(set)
+    for p in packed(small[0], BYTE).collect():
+        tiers[p.step_group].add(p.tier)
+    assert all(len(t) == 1 for t in tiers.values()) and len({x for t in tiers.values() for x in t}) > 1
+
+
 def test_packing_of_no_rows(no_docs):
     assert packed(no_docs, BYTE).count() == 0
