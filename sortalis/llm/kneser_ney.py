@@ -12,6 +12,8 @@ scoring workers map into memory.  Three counting jobs build it, each sending com
 Only sums (tokens, types, counts of counts) reach the driver.  A bigram's probability is its discounted
 share plus the freed mass times the continuation probability of its second word, which is discounted
 alike and interpolated with the uniform distribution over the vocabulary and one unknown word.
+Counts may be of any size; a word's number has 32 bits, so that a pair is one 64-bit key, and ``trained``
+raises ValueError beyond 4,294,967,294 distinct words.
 
 A text is lower-cased in A-Z; its tokens are the words and one end; the first follows a start mark.
 
@@ -99,6 +101,14 @@ class Model:
             self._open[key] = mapped(f"{self.folder}/{name}/{shard}.bin", dtype)
         return self._open[key]
 
+    def counts(self, name: str, shard: int, n: int) -> np.ndarray:
+        """The n counts of a file, which are of 64 bits where a count needs more than 32."""
+        key = (name, shard)
+        if key not in self._open:
+            raw = mapped(f"{self.folder}/{name}/{shard}.bin", np.uint8)
+            self._open[key] = raw.view(np.uint64 if len(raw) == 8 * n else np.uint32)
+        return self._open[key]
+
     def numbers(self, keys: np.ndarray) -> np.ndarray:
         """The numbers of sorted distinct word keys, -1 for the unknown."""
         out = np.full(len(keys), -1, np.int64)
@@ -108,14 +118,14 @@ class Model:
             out[a:b] = np.where(at >= 0, at + self.bases[s], -1)
         return out
 
-    def of_words(self, name: str, numbers: np.ndarray, dtype: type) -> np.ndarray:
+    def of_words(self, name: str, numbers: np.ndarray) -> np.ndarray:
         """The values that an array beside the words has for sorted word numbers."""
         shards = np.searchsorted(self.bases, numbers, side="right") - 1
         out = np.zeros(len(numbers), np.float64)
         heads = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(numbers) else []
         for a, b in zip(heads, np.append(heads, len(numbers))[1:], strict=True):
             s = int(shards[a])
-            out[a:b] = self.array(name, s, dtype)[numbers[a:b] - self.bases[s]]
+            out[a:b] = self.counts(name, s, int(self.bases[s + 1] - self.bases[s]))[numbers[a:b] - self.bases[s]]
         return out
 
     def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
@@ -123,9 +133,10 @@ class Model:
         out = np.zeros(len(keys), np.float64)
         shards, bounds = shard_bounds(keys, self.bits)
         for s, a, b in zip(shards.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            at = find(self.array("bigrams", s, np.uint64), keys[a:b])
+            pairs = self.array("bigrams", s, np.uint64)
+            at = find(pairs, keys[a:b])
             known = np.flatnonzero(at >= 0)
-            out[a:b][known] = self.array("bigram_counts", s, np.uint32)[at[known]]
+            out[a:b][known] = self.counts("bigram_counts", s, len(pairs))[at[known]]
         return out
 
     def score(self, column: pa.Array) -> pa.RecordBatch:
@@ -137,11 +148,10 @@ class Model:
         known = np.flatnonzero(number >= 0)
         count, before = np.zeros(len(distinct)), np.zeros(len(distinct))
         context = {k: np.zeros(len(distinct) + 1) for k in CONTEXT[:4]}  # the last is the start mark
-        count[known] = self.of_words("word_counts", number[known], np.uint64)
-        before[known] = self.of_words("before", number[known], np.uint32)
+        count[known] = self.of_words("word_counts", number[known])
+        before[known] = self.of_words("before", number[known])
         for name, values in context.items():
-            dtype = np.uint64 if name == "total" else np.uint32
-            values[:-1][known] = self.of_words(name, number[known], dtype)
+            values[:-1][known] = self.of_words(name, number[known])
             values[-1] = self.array(f"start_{name}", 0, np.uint64)[0] if self.pairs else 0
         base = np.log10((count + 0.5) / (self.train_tokens + 0.5 * (self.types + 1)))
         one, two, three = self.word_discounts
@@ -193,6 +203,9 @@ def _merged(batches: Iterator[pa.RecordBatch], columns: int = 1) -> Iterator[tup
 
 
 def _write(folder: str, name: str, shard: int, values: np.ndarray) -> None:
+    """Writes keys, or counts in as many bits as the largest needs."""
+    if name not in ("words", "bigrams") and not name.startswith("start_") and len(values):
+        values = values.astype(np.uint32 if values.max() < 1 << 32 else np.uint64)
     write_file(f"{folder}/{name}/{shard}.bin", lambda out: out.write(np.ascontiguousarray(values).tobytes()))
 
 
@@ -212,7 +225,7 @@ def trained(docs: DataFrame) -> Model:
         for shard, keys, counts in _merged(batches):
             keys, counts = summed(keys, counts[0])
             _write(folder, "words", shard, keys)
-            _write(folder, "word_counts", shard, counts.astype(np.uint64))
+            _write(folder, "word_counts", shard, counts)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "tokens": [int(counts.sum())]})
 
     def by_shard(frame: DataFrame) -> DataFrame:
@@ -244,7 +257,7 @@ def trained(docs: DataFrame) -> Model:
         for shard, keys, counts in _merged(batches):
             keys, counts = summed(keys, counts[0])
             _write(folder, "bigrams", shard, keys)
-            _write(folder, "bigram_counts", shard, counts.astype(np.uint32))
+            _write(folder, "bigram_counts", shard, counts)
             pairs = unmixed(keys)
             left, right = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
             both = np.concatenate([left, right])
@@ -290,7 +303,7 @@ def trained(docs: DataFrame) -> Model:
             own = (keys[~start] - np.uint64(bases[shard])).astype(np.int64)
             for name, v in zip(CONTEXT, values[:, ~start], strict=True):
                 dense = np.bincount(own, weights=v, minlength=int(bases[shard + 1] - bases[shard]))
-                _write(folder, name, shard, dense.astype(np.uint64 if name == "total" else np.uint32))
+                _write(folder, name, shard, dense.astype(np.uint64))
                 if name == "before":
                     around += [(dense == k).sum() for k in range(1, 5)]
                     freed += [(dense == 1).sum(), (dense == 2).sum(), (dense >= 3).sum()]

@@ -75,3 +75,12 @@ def test_no_rows(no_docs, small):
 def test_the_finaliser_is_undone():
     x = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)
     assert (unmixed(mixed(x)) == x).all()
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    from sortalis.llm.kneser_ney import Model, _write
+
+    for values in ([3, 1 << 33, 7], [3, 9, 7]):
+        _write(str(tmp_path), "word_counts", 0, np.array(values, np.uint64))
+        model = Model(str(tmp_path), 4, np.append(0, np.full(16, 3)), 0)
+        assert model.of_words("word_counts", np.array([0, 1, 2])).tolist() == values
