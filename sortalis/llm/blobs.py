@@ -1,6 +1,7 @@
 """Compact blobs of sorted 64-bit keys, the unit in which tasks send counts to shards.
 
-A key's shard is given by its leading bits, so the shards of a sorted array are consecutive runs.
+A key's shard is given by its leading bits, so the shards of a sorted array are consecutive runs.  Keys are hashes,
+so shards are even, and their number grows with the text: a task holds one shard, of bounded size.
 Keys travel as differences cut to the bytes that the largest one needs, which takes about six bytes a
 key instead of the thirty or so of a row.
 """
@@ -8,6 +9,8 @@ key instead of the thirty or so of a row.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -74,6 +77,15 @@ def find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == wanted, at, -1)
 
 
-def shard_bits(partitions: int) -> int:
-    """Bits for at least as many shards as a shuffle has partitions, 16 at least."""
-    return max(4, (max(1, partitions) - 1).bit_length())
+SHARD_BYTES = 128 << 20  # of text, so that the keys of a shard fit in a worker
+
+
+def shard_bits(partitions: int, text_bytes: int = 0) -> int:
+    """Bits for as many shards as a shuffle has partitions, or more where a shard would stand for over SHARD_BYTES; 16 at least."""
+    return max(4, (max(1, partitions) - 1).bit_length(), (-(-text_bytes // SHARD_BYTES) - 1).bit_length() if text_bytes else 0)
+
+
+def bits_for(docs: DataFrame) -> int:
+    """The bits of the shards of a frame's texts, whose bytes are added up in a job of its own."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0]
+    return shard_bits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total or 0)

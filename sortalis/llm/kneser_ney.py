@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortalis.llm.blobs import find, pack_counts, pack_keys, shard_bits, shard_bounds, summed, unpack_counts, unpack_keys
+from sortalis.llm.blobs import bits_for, find, pack_counts, pack_keys, shard_bounds, summed, unpack_counts, unpack_keys
 from sortalis.llm.textcols import ASCII_LOWER, mixed, slices, text_buffer, word_hashes, words
 from sortalis.sources.shared import mapped, new_folder, write_file
 
@@ -212,7 +212,7 @@ def _write(folder: str, name: str, shard: int, values: np.ndarray) -> None:
 def trained(docs: DataFrame) -> Model:
     """Counts the model over all rows of the documents."""
     spark = docs.sparkSession
-    folder, bits = new_folder(spark, "model"), shard_bits(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder, bits = new_folder(spark, "model"), bits_for(docs)
     texts = docs.selectExpr("cast(text as string) text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

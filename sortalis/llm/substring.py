@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortalis.llm.blobs import find, pack_keys, shard_bits, shard_bounds, unpack_keys
+from sortalis.llm.blobs import bits_for, find, pack_keys, shard_bounds, unpack_keys
 from sortalis.llm.textcols import mixed, ranges, slices, text_buffer, word_hashes, words
 from sortalis.sources.shared import mapped, new_folder, write_file
 
@@ -51,7 +51,7 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[n
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[str, int]:
     """Counts the windows and writes the repeated hashes; returns (folder, bits of the shard number)."""
     spark = docs.sparkSession
-    folder, bits = new_folder(spark, "windows"), shard_bits(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder, bits = new_folder(spark, "windows"), bits_for(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -84,3 +84,16 @@ def test_counts_beyond_32_bits(tmp_path):
         _write(str(tmp_path), "word_counts", 0, np.array(values, np.uint64))
         model = Model(str(tmp_path), 4, np.append(0, np.full(16, 3)), 0)
         assert model.of_words("word_counts", np.array([0, 1, 2])).tolist() == values
+
+
+def test_many_shards_of_one_partition(spark, small, monkeypatch):
+    from sortalis.llm import blobs
+
+    score = lambda: sorted((r.doc_id, round(r.score, 9)) for r in scored(small[0], trained(small[0])).collect())
+    want, before = score(), spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(blobs, "SHARD_BYTES", 2000)
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        assert score() == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

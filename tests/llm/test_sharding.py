@@ -75,10 +75,10 @@ def test_few_rows_leave_home_or_move(spark):
     plain = {r.node: r.shard for r in __import__("sortalis.llm.sharding", fromlist=["ring"]).ring(spark).collect()}
     before, after = sharded(docs).collect(), sharded(docs, 41).collect()
     away = sum(plain[r.home_node] != r.shard for r in before)
-    assert away < 0.15 * len(before)
+    assert away < 0.12 * len(before)
     was = {r.doc_id: r.shard for r in before}
     moved = sum(was[r.doc_id] != r.shard for r in after)
-    assert moved < 0.3 * len(after)
+    assert moved < 0.12 * len(after)  # a 41st shard takes 2.4 % at best; the law that counts differ by one at most costs the rest
 
 
 def test_one_key_with_a_third_of_the_rows(spark):

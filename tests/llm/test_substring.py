@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from sortalis.llm import blobs
 from sortalis.llm.substring import removed
 
 
@@ -35,5 +36,18 @@ def test_equals_brute_force(name, window, request):
         assert hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256
 
 
+def test_many_shards_of_one_partition(spark, small, monkeypatch):
+    assert blobs.shard_bits(1) == 4 and blobs.shard_bits(200) == 8 and blobs.shard_bits(1, 100 << 30) == 10 and blobs.shard_bits(5000, 1) == 13
+    monkeypatch.setattr(blobs, "SHARD_BYTES", 2000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        assert blobs.bits_for(small[0]) > 6
+        got = removed(small[0], 3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got) == brute(small[0].select("doc_id", "text").collect(), 3)
+
+
 def test_no_rows(no_docs):
     assert removed(no_docs).count() == 0
