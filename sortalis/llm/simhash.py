@@ -212,26 +212,31 @@ def fingerprinted(docs: DataFrame, column: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (doc_id, fp, fingerprint, component_id, root), one for each row of the documents; root is the component's least fp.
-
-    A fingerprint of more than one in HOT of all rows is hot.  There are HOT hot ones at most, so their classes
-    are broadcast, and no task gets the rows of one.
-    """
+    """Rows (doc_id, fp, fingerprint, component_id, root), one for each row of the documents; root is the component's least fp."""
     marked = written(fingerprinted(docs.selectExpr("cast(doc_id as long) doc_id", "text"), "fp").select("doc_id", "fp"), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = connected_components(links(nodes.select("fp"), radius))
-    joined = nodes.join(roots, nodes.fp == roots.node)
-    linked = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    linked = written(nodes.join(roots, nodes.fp == roots.node).select("fp", "root", "least"), "linked")
+    groups = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    linked = _spread(linked.select("fp", "root"), groups, "root")
     classes = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    classes = written(classes, "classes")
-    most = marked.count() // HOT
-    hot = classes.where(F.col("n") > most).select("fp", F.struct("component_id", "root").alias("class"))
-    tagged = marked.join(F.broadcast(hot), "fp", "left")
-    cold = tagged.where("class is null").select("doc_id", "fp").join(classes.where(F.col("n") <= most).select("fp", "component_id", "root"), "fp")
-    rows = cold.unionByName(tagged.where("class is not null").select("doc_id", "fp", "class.component_id", "class.root"))
+    rows = _spread(marked, written(classes, "classes"), "fp")
     return rows.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
+def _spread(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """The rows with the values of their key; ``values`` has each key once, with the number ``n`` of its rows.
+
+    A key of more than one in HOT of all rows is hot.  There are HOT hot ones at most, so these are broadcast, and no
+    task gets the rows of one.
+    """
+    most, extra = rows.count() // HOT, [c for c in values.columns if c not in (key, "n")]
+    hot = values.where(F.col("n") > most).select(key, F.struct(*extra).alias("found"))
+    tagged = rows.join(F.broadcast(hot), key, "left")
+    cold = tagged.where("found is null").select(*rows.columns).join(values.where(F.col("n") <= most).drop("n"), key)
+    return cold.unionByName(tagged.where("found is not null").select(*rows.columns, *[F.col("found").getField(c).alias(c) for c in extra]))
+
+
 def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents that stay when each group keeps the row with the smallest doc_id, the first of those that repeat.
 
