@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortalis.llm.textcols import claim, mixed, ranges, slices, text_buffer
+from sortalis.llm.textcols import claim, mixed, ranges, slices, text_buffer, word_points
 
 RATE, LEAST_WORDS, BLOCK_BYTES, SLICE = 0.2, 5, 16 << 20, 1 << 20
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, error_budget int, start int, end int"
@@ -42,7 +42,7 @@ def _lower() -> np.ndarray:
     """By code point, the lower-case letter or digit; 0 for the rest."""
     if not _LOWER:
         table = np.zeros(0x110000, np.uint64)
-        for c in range(0x110000):
+        for c in word_points():
             s = chr(c)
             if s.isalnum():
                 low = s.lower()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sortalis.llm.textcols import claim, slices, text_buffer
+from sortalis.llm.textcols import claim, slices, text_buffer, word_points
 
 TABLE_BITS = 16
 MOST_ROWS = 2000
@@ -52,7 +52,7 @@ class _Tables:
 
     def __init__(self) -> None:
         lower = np.zeros(0x110000, np.uint32)
-        for c in range(0x110000):
+        for c in word_points():
             s = chr(c)
             if s.isalpha():
                 low = s.lower()

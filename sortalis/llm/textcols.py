@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -138,6 +139,13 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_points() -> Iterator[int]:
+    """All code points of the blocks in which there is a letter or a digit."""
+    for at in range(0, 0x110000, 4096):
+        if re.search(r"\w", np.arange(at, at + 4096, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
+            yield from range(at, at + 4096)
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """A column name that is not taken, in any case of its letters."""
     used = {t.lower() for t in taken}
