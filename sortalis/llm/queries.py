@@ -42,7 +42,7 @@ def op3_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sortalis.llm.kneser_ney import scored, trained
 
     docs = documents(spark, sf_dir)
-    model = trained(docs.where(remainder(5) != 1))
+    model = trained(docs.where(remainder(5) != 1), order=3)
     return scored(docs, model).select("doc_id", (remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
