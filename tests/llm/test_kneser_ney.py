@@ -99,6 +99,15 @@ def test_other_orders_are_refused(small):
         trained(small[0], 4)
 
 
+def test_the_setting_of_shuffle_files_is_put_back(spark, small):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with pytest.raises(Exception, match="missing"):
+        trained(small[0].selectExpr("missing as text"))
+    trained(small[0].where("doc_id < 3"), 3)
+    assert spark.conf.get(name) == before
+
+
 def test_counts_beyond_32_bits(tmp_path):
     from sortalis.llm.kneser_ney import Model, _write
 
