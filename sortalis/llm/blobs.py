@@ -8,6 +8,8 @@ key instead of the thirty or so of a row.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +60,31 @@ def shard_bounds(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return shards[heads], np.append(heads, len(keys))
 
 
+PART = 1 << 19  # keys of a shard that are merged at a time
+
+
+def in_parts(runs: list[tuple[np.ndarray, ...]], edges: Callable[[int], np.ndarray]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(part, parts, arrays) of runs, each sorted keys and arrays beside them, joined range of keys by range of keys.
+
+    There are as many ranges as give each about PART keys; ``edges`` says for a number of ranges where they meet.
+    """
+    parts = max(1, -(-sum(len(r[0]) for r in runs) // PART))
+    inner = edges(parts)[1:-1]
+    cuts = [[0, *np.searchsorted(r[0], inner).tolist(), len(r[0])] for r in runs]
+    for i in range(parts):
+        yield i, parts, [np.concatenate([x[..., c[i] : c[i + 1]] for x, c in zip(column, cuts, strict=True)], axis=-1) for column in zip(*runs, strict=True)]
+
+
+def even_edges(low: int, high: int) -> Callable[[int], np.ndarray]:
+    """Edges that cut the keys from low to below high into even ranges; the two outer ones are low and high, or the last key."""
+    return lambda parts: np.array([min(low + (high - low) * i // parts, (1 << 64) - 1) for i in range(parts + 1)], np.uint64)
+
+
+def shard_edges(shard: int, bits: int) -> Callable[[int], np.ndarray]:
+    """Edges of the keys that lie in a shard."""
+    return even_edges(shard << 64 - bits, shard + 1 << 64 - bits)
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order and the sum of the counts of each."""
     if not len(keys):

@@ -29,16 +29,17 @@ table gives no row; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortalis.llm.blobs import bits_for, find, pack_counts, pack_keys, shard_bounds, summed, unpack_counts, unpack_keys
+from sortalis.llm.blobs import bits_for, even_edges, find, in_parts, pack_counts, pack_keys, shard_bounds, shard_edges, summed, unpack_counts, unpack_keys
 from sortalis.llm.textcols import ASCII_LOWER, mixed, slices, text_buffer, word_hashes, words
 from sortalis.sources.shared import mapped, new_folder, write_file
 
@@ -262,24 +263,59 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, shards: np.ndarray, bounds: np.
     )
 
 
-def _merged(batches: Iterator[pa.RecordBatch], columns: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, keys, counts) of each shard of a task; with several columns the blobs of counts follow one another."""
+Edges = Callable[[int], Callable[[int], np.ndarray]]
+
+
+def _merged(batches: Iterator[pa.RecordBatch], edges: Edges, columns: int = 1) -> Iterator[tuple[int, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """(shard, parts) of each shard of a task; a part is a range of keys: its two edges, its keys, and a row of counts for each column.
+
+    Blobs are held at nine bytes a key or so and joined part by part.  With several columns the blobs of counts follow one another.
+    """
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            held.setdefault(row["shard"], []).append((unpack_keys(row["keys"]), unpack_counts(row["counts"], row["n"] * columns)))
+            counts = unpack_counts(row["counts"], row["n"] * columns).reshape(columns, -1)
+            held.setdefault(row["shard"], []).append((unpack_keys(row["keys"]), counts if (counts > 255).any() else counts.astype(np.uint8)))
     for shard in sorted(held):
-        rows = held.pop(shard)
-        yield shard, np.concatenate([k for k, _ in rows]), np.concatenate([c.reshape(columns, -1) for _, c in rows], axis=1)
+        yield shard, _parts(held.pop(shard), edges(shard))
+
+
+def _parts(runs: list[tuple[np.ndarray, np.ndarray]], edges: Callable[[int], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for i, parts, (keys, counts) in in_parts(runs, edges):
+        yield edges(parts)[i : i + 2], keys, counts.astype(np.uint64)
+
+
+class Counts:
+    """Counts taken part by part, in a byte each, the large ones apart; a file of them is what ``Model.counts`` reads."""
+
+    def __init__(self):
+        self.n, self.small, self.places, self.values = 0, [], [], []
+
+    def add(self, counts: np.ndarray) -> None:
+        large = np.flatnonzero(counts >= 255)
+        self.small.append(np.minimum(counts, 255).astype(np.uint8))
+        self.places.append((large + self.n).astype(np.uint64))
+        self.values.append(counts[large].astype(np.uint64))
+        self.n += len(counts)
+
+    def write(self, uri: str) -> None:
+        parts = [*self.small, np.zeros(-self.n % 8, np.uint8), *self.places, *self.values]
+        write_file(uri, lambda out: [out.write(x.tobytes()) for x in parts])
+
 
+def _write_summed(folder: str, names: tuple[str, str], shard: int, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], then: Callable) -> None:
+    """Writes the distinct keys of a shard and the sums of their counts; ``then`` is given (edges, keys, counts) of each part."""
+    kept = Counts()
 
-def _write(folder: str, name: str, shard: int, values: np.ndarray) -> None:
-    """Writes keys and single numbers as they are, counts as ``Model.counts`` reads them."""
-    if name not in ("words", "bigrams", "trigrams") and not name.startswith("start_"):
-        large = np.flatnonzero(values >= 255).astype(np.uint64)
-        small = np.append(np.minimum(values, 255).astype(np.uint8), np.zeros(-len(values) % 8, np.uint8))
-        values = np.concatenate([small, np.concatenate([large, values[large].astype(np.uint64)]).view(np.uint8)])
-    write_file(f"{folder}/{name}/{shard}.bin", lambda out: out.write(np.ascontiguousarray(values).tobytes()))
+    def write(out: BinaryIO) -> None:
+        for ends, keys, counts in parts:
+            keys, counts = summed(keys, counts[0])
+            out.write(keys.tobytes())
+            kept.add(counts)
+            then(ends, keys, counts)
+
+    write_file(f"{folder}/{names[0]}/{shard}.bin", write)
+    kept.write(f"{folder}/{names[1]}/{shard}.bin")
 
 
 @contextmanager
@@ -314,11 +350,14 @@ def _trained(docs: DataFrame, order: int) -> Model:
                 yield _blobs(keys, counts, *shard_bounds(keys, bits))
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in _merged(batches):
-            keys, counts = summed(keys, counts[0])
-            _write(folder, "words", shard, keys)
-            _write(folder, "word_counts", shard, counts)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "types": [len(keys)], "tokens": [int(counts.sum())]})
+        for shard, parts in _merged(batches, by_key):
+            seen: list[tuple[int, int]] = []
+            _write_summed(folder, ("words", "word_counts"), shard, parts, lambda _, keys, counts, seen=seen: seen.append((len(keys), int(counts.sum()))))
+            types, n = np.sum(seen, axis=0).tolist()
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "types": [types], "tokens": [n]})
+
+    def by_key(shard: int) -> Callable[[int], np.ndarray]:
+        return shard_edges(shard, bits)
 
     def by_shard(frame: DataFrame) -> DataFrame:
         return frame.repartitionById(1 << bits, F.col("shard"))
@@ -353,8 +392,9 @@ def _trained(docs: DataFrame, order: int) -> Model:
                 pairs, counts = np.unique(np.append(pair, np.full(len(heads) if order == 3 else 0, STARTS)), return_counts=True)
                 yield _blobs(pairs, counts, *shard_bounds(pairs, bits))
 
-    def around_words(keys: np.ndarray, counts: np.ndarray, size: int, shard: int) -> pa.RecordBatch:
-        """What the bigrams of a shard, with their counts at that order, add to the words around them; pairs without a count add nothing."""
+    def around_words(keys: np.ndarray, counts: np.ndarray, shard: int) -> pa.RecordBatch:
+        """What some bigrams of a shard, with their counts at that order, add to the words around them; pairs without a count add nothing."""
+        size = len(keys)
         keys, counts = keys[counts > 0], counts[counts > 0]
         pairs = unmixed(keys)
         left, right = pairs >> np.uint64(32), pairs & LOW
@@ -366,7 +406,7 @@ def _trained(docs: DataFrame, order: int) -> Model:
         heads = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
         both, values = both[heads], np.add.reduceat(values, heads, axis=1) if len(heads) else values
         target = np.where(both == START, 0, np.searchsorted(bases, both, side="right") - 1)
-        # the first row has the counts of counts and this shard's size, and no n-gram
+        # the first row has the counts of counts and how many bigrams these are, and no n-gram
         body = {"shard": [0], "n": [0], "keys": [b""], "counts": [b""], "seen": [[int((counts == k).sum()) for k in range(1, 5)] + [len(keys), shard, size]]}
         plain = both != START
         for which in (plain, ~plain):  # the start mark goes to shard 0, in a row of its own
@@ -381,14 +421,17 @@ def _trained(docs: DataFrame, order: int) -> Model:
         return pa.RecordBatch.from_pydict(body, schema=pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("seen", pa.list_(pa.int64()))]))
 
     def write_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in _merged(batches):
-            keys, counts = summed(keys, counts[0])
-            _write(folder, "bigrams", shard, keys)
-            _write(folder, "bigram_counts", shard, counts)
-            if order == 2:
-                yield around_words(keys, counts, len(keys), shard)
-            else:
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [len(keys)]})
+        for shard, parts in _merged(batches, by_key):
+            out: list[pa.RecordBatch] = []
+            sizes: list[int] = []
+
+            def then(_: np.ndarray, keys: np.ndarray, counts: np.ndarray, shard: int = shard, out: list = out, sizes: list = sizes) -> None:
+                sizes.append(len(keys))
+                if order == 2:
+                    out.append(around_words(keys, counts, shard))
+
+            _write_summed(folder, ("bigrams", "bigram_counts"), shard, parts, then)
+            yield from out if order == 2 else [pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [sum(sizes)]})]
 
     def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = model.word_bits
@@ -405,14 +448,24 @@ def _trained(docs: DataFrame, order: int) -> Model:
                 yield _blobs(at[index] << width | (triples & ((np.uint64(1) << width) - np.uint64(1))), counts, shards, bounds)
 
     def write_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, keys, counts in _merged(batches):
-            keys, counts = summed(keys, counts[0])
-            _write(folder, "trigrams", shard, keys)
-            _write(folder, "trigram_counts", shard, counts)
-            at = (keys >> model.word_bits).astype(np.int64)
-            for name, which in (("once", counts == 1), ("twice", counts == 2), ("more", counts >= 3)):
-                _write(folder, f"pair_{name}", shard, np.bincount(at[which], minlength=int(model.pair_sizes[shard])))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [len(keys)], "seen": [[int((counts == k).sum()) for k in range(1, 5)]]})
+        for shard, parts in _merged(batches, lambda s: lambda n: by_position(s)(n) << model.word_bits):
+            followers = {name: Counts() for name in ("once", "twice", "more")}
+            seen = np.zeros(5, np.int64)
+
+            def then(ends: np.ndarray, keys: np.ndarray, counts: np.ndarray, followers: dict = followers, seen: np.ndarray = seen) -> None:
+                low, high = (ends >> model.word_bits).astype(np.int64)
+                at = (keys >> model.word_bits).astype(np.int64) - low
+                for name, which in (("once", counts == 1), ("twice", counts == 2), ("more", counts >= 3)):
+                    followers[name].add(np.bincount(at[which], minlength=high - low))
+                seen[:] += [len(keys), *((counts == k).sum() for k in range(1, 5))]
+
+            _write_summed(folder, ("trigrams", "trigram_counts"), shard, parts, then)
+            for name, counts in followers.items():
+                counts.write(f"{folder}/pair_{name}/{shard}.bin")
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": [int(seen[0])], "seen": [seen[1:].tolist()]})
+
+    def by_position(shard: int) -> Callable[[int], np.ndarray]:
+        return even_edges(0, int(model.pair_sizes[shard]))
 
     def count_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For the pairs that end the trigrams of a shard, their positions in their own shards and how many words come before."""
@@ -427,12 +480,15 @@ def _trained(docs: DataFrame, order: int) -> Model:
                     yield _blobs(model.positions(pairs).astype(np.uint64), counts, *shard_bounds(pairs, bits))
 
     def write_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, at, counts in _merged(batches):
+        for shard, parts in _merged(batches, by_position):
             if model.pair_sizes[shard]:
-                n = int(model.pair_sizes[shard])
-                before = np.bincount(at.astype(np.int64), weights=counts[0], minlength=n).astype(np.uint64)
-                _write(folder, "pair_before", shard, before)
-                yield around_words(model.array("bigrams", shard, np.uint64), before, n, shard)
+                kept, bigrams = Counts(), model.array("bigrams", shard, np.uint64)
+                for ends, at, counts in parts:
+                    low, high = ends.astype(np.int64)
+                    before = np.bincount(at.astype(np.int64) - low, weights=counts[0], minlength=high - low).astype(np.uint64)
+                    kept.add(before)
+                    yield around_words(bigrams[low:high], before, shard)
+                kept.write(f"{folder}/pair_before/{shard}.bin")
 
     def write_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sizes = np.zeros(5, np.int64), []
@@ -446,18 +502,23 @@ def _trained(docs: DataFrame, order: int) -> Model:
                 yield batch
 
         around, freed = np.zeros(4, np.int64), np.zeros(3, np.int64)
-        for shard, keys, values in _merged(noting(batches), len(CONTEXT)):
-            start = keys == START
-            if start.any():
-                for name, v in zip(CONTEXT[:4], values[:4, start].sum(axis=1), strict=True):
-                    _write(folder, f"start_{name}", 0, np.array([v], np.uint64))
-            own = (keys[~start] - np.uint64(bases[shard])).astype(np.int64)
-            for name, v in zip(CONTEXT, values[:, ~start], strict=True):
-                dense = np.bincount(own, weights=v, minlength=int(bases[shard + 1] - bases[shard]))
-                _write(folder, name, shard, dense.astype(np.uint64))
-                if name == "before":
-                    around += [(dense == k).sum() for k in range(1, 5)]
-                    freed += [(dense == 1).sum(), (dense == 2).sum(), (dense >= 3).sum()]
+        for shard, parts in _merged(noting(batches), lambda s: even_edges(int(bases[s]), int(bases[s + 1])), len(CONTEXT)):
+            kept = {name: Counts() for name in CONTEXT}
+            for ends, keys, values in parts:
+                start = keys == START
+                if start.any():
+                    for name, v in zip(CONTEXT[:4], values[:4, start].sum(axis=1), strict=True):
+                        write_file(f"{folder}/start_{name}/0.bin", lambda out, v=v: out.write(v.tobytes()))
+                low, high = ends.astype(np.int64)
+                at = keys[~start].astype(np.int64) - low
+                for name, v in zip(CONTEXT, values[:, ~start], strict=True):
+                    dense = np.bincount(at, weights=v, minlength=high - low).astype(np.uint64)
+                    kept[name].add(dense)
+                    if name == "before":
+                        around += [(dense == k).sum() for k in range(1, 5)]
+                        freed += [(dense == 1).sum(), (dense == 2).sum(), (dense >= 3).sum()]
+            for name, counts in kept.items():
+                counts.write(f"{folder}/{name}/{shard}.bin")
         names = ("seen", "around", "freed", "sizes")
         yield pa.RecordBatch.from_pydict(dict(zip(names, [[x.tolist()] for x in (seen, around, freed)] + [[sizes]], strict=True)), schema=pa.schema([(k, pa.list_(pa.int64())) for k in names]))
 
@@ -475,7 +536,7 @@ def _trained(docs: DataFrame, order: int) -> Model:
     seen, around, freed = (np.sum([r[k] for r in rows], axis=0).tolist() for k in range(3))
     sizes = np.array([x for r in rows for x in r.sizes], np.int64).reshape(-1, 2)
     model.pair_sizes = np.zeros(1 << bits, np.int64)
-    model.pair_sizes[sizes[:, 0]] = sizes[:, 1]
+    np.add.at(model.pair_sizes, sizes[:, 0], sizes[:, 1])
     model.bigram_discounts, model.word_discounts, model.pairs = discounts(seen[:4]), discounts(around), seen[4]
     model.freed = sum(d * n for d, n in zip(model.word_discounts, freed, strict=True)) / seen[4]
     return model

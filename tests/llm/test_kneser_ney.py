@@ -109,10 +109,13 @@ def test_the_setting_of_shuffle_files_is_put_back(spark, small):
 
 
 def test_counts_beyond_32_bits(tmp_path):
-    from sortalis.llm.kneser_ney import Model, _write
+    from sortalis.llm.kneser_ney import Counts, Model
 
-    for values in ([3, 1 << 33, 7], [3, 9, 7]):
-        _write(str(tmp_path), "word_counts", 0, np.array(values, np.uint64))
+    for values in ([3, 1 << 33, 7], [3, 9, 7], [3, 9, 1 << 34]):
+        kept = Counts()
+        for part in (values[:2], [], values[2:]):
+            kept.add(np.array(part, np.uint64))
+        kept.write(f"{tmp_path}/word_counts/0.bin")
         model = Model(str(tmp_path), 4, np.append(0, np.full(16, 3)), 0)
         assert model.of_words("word_counts", np.array([0, 1, 2])).tolist() == values
 
@@ -129,3 +132,28 @@ def test_many_shards_of_one_partition(order, spark, small, monkeypatch):
         assert score() == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_parts_join_to_the_whole(monkeypatch):
+    from sortalis.llm import blobs
+    from sortalis.llm.kneser_ney import _blobs, _merged
+
+    monkeypatch.setattr(blobs, "PART", 37)
+    random = np.random.default_rng(6)
+    everything, total = random.integers(0, 1 << 64, 500, dtype=np.uint64), Counter()
+    batches = []
+    for _ in range(9):
+        keys = np.unique(random.choice(everything, 200))
+        counts = random.choice(np.array([1, 2, 300, 1 << 33], np.uint64), len(keys), p=[0.8, 0.17, 0.02, 0.01])
+        total.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+        batches.append(_blobs(keys, counts, *blobs.shard_bounds(keys, 2)))
+    got, most = {}, 0
+    for shard, parts in _merged(iter(batches), lambda s: blobs.shard_edges(s, 2)):
+        last = shard << 62
+        for (low, high), keys, counts in parts:
+            assert int(low) == last and all(low <= k <= high for k in keys)
+            last, most = int(high), max(most, len(keys))
+            keys, counts = blobs.summed(keys, counts[0])
+            got |= dict(zip(keys.tolist(), counts.tolist(), strict=True))
+        assert last == min((shard + 1) << 62, (1 << 64) - 1)
+    assert got == total and list(got) == sorted(got) and most < 100
