@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortalis.llm.blobs import bits_for, find, pack_keys, shard_bounds, unpack_keys
+from sortalis.llm.blobs import bits_for, find, in_parts, pack_keys, shard_bounds, shard_edges, unpack_keys
 from sortalis.llm.textcols import mixed, ranges, slices, text_buffer, word_hashes, words
 from sortalis.sources.shared import mapped, new_folder, write_file
 
@@ -81,12 +82,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[str, int]:
                 own = unpack_keys(keys)
                 held.setdefault(shard, []).append((own, np.unpackbits(np.frombuffer(repeats, np.uint8), count=len(own)).astype(bool)))
         for shard in list(held):
-            rows = held.pop(shard)
-            keys = np.sort(np.concatenate([k for k, _ in rows] + [k[r] for k, r in rows]))  # marked ones count twice
-            same = np.flatnonzero(keys[1:] == keys[:-1])
-            twice = np.unique(keys[same])
-            write_file(f"{folder}/{shard}.u64", lambda out, x=twice: out.write(x.tobytes()))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_repeated": pa.array([len(twice)], pa.int64())})
+            n: list[int] = []
+
+            def write(out: BinaryIO, shard: int = shard, n: list = n) -> None:
+                for _, _, (keys, marked) in in_parts(held.pop(shard), shard_edges(shard, bits)):
+                    keys = np.sort(np.append(keys, keys[marked]))  # marked ones count twice
+                    twice = np.unique(keys[1:][keys[1:] == keys[:-1]])
+                    out.write(twice.tobytes())
+                    n.append(len(twice))
+
+            write_file(f"{folder}/{shard}.u64", write)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_repeated": pa.array([sum(n)], pa.int64())})
 
     sent = docs.selectExpr("cast(text as string) text").mapInArrow(count, "shard int, keys binary, repeats binary")
     sent.repartitionById(1 << bits, F.col("shard")).mapInArrow(gather, "shard int, n_repeated long").agg(F.sum("n_repeated")).collect()
