@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortalis.llm.blobs import bits_for, even_edges, find, in_parts, pack_counts, pack_keys, shard_bounds, shard_edges, summed, unpack_counts, unpack_keys
-from sortalis.llm.textcols import ASCII_LOWER, mixed, slices, text_buffer, word_hashes, words
+from sortalis.llm.textcols import ASCII_LOWER, distinct_word_hashes, mixed, slices, text_buffer, words
 from sortalis.sources.shared import mapped, new_folder, write_file
 
 SLICE = 8 << 20
@@ -65,13 +65,16 @@ def unmixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, first): the words of each text and its end; document d has tokens first[d] to first[d + 1]."""
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, index, first): the distinct keys in order, the index there of each text's words and its end; document d has tokens first[d] to first[d + 1]."""
     raw, offsets = text_buffer(column)
     raw = ASCII_LOWER[raw]
     starts, ends, first = words(raw, offsets)
-    keys = np.insert(word_hashes(raw, starts, ends), first[1:], END)
-    return keys, first + np.arange(len(first))
+    hashes, index = distinct_word_hashes(raw, starts, ends)
+    if len(column):
+        hashes = np.append(hashes, END)
+    keys, rank = np.unique(hashes, return_inverse=True)
+    return keys, np.insert(rank[index], first[1:], rank[-1] if len(column) else 0), first + np.arange(len(first))
 
 
 def discounts(counts_of_counts: list[int]) -> tuple[float, float, float]:
@@ -129,7 +132,7 @@ class Model:
     def array(self, name: str, shard: int, dtype: type) -> np.ndarray:
         key = (name, shard)
         if key not in self._open:
-            self._open[key] = mapped(f"{self.folder}/{name}/{shard}.bin", dtype)
+            self._open[key] = mapped(f"{self.folder}/{name}/{shard}.bin", dtype).view(np.ndarray)
         return self._open[key]
 
     def counts(self, name: str, shard: int, n: int, at: np.ndarray) -> np.ndarray:
@@ -196,9 +199,8 @@ class Model:
 
     def score(self, column: pa.Array) -> pa.RecordBatch:
         """n_tokens, n_known, base_score and score of each text."""
-        keys, first = tokens(column)
+        distinct, index, first = tokens(column)
         n = len(first) - 1
-        distinct, index = np.unique(keys, return_inverse=True)
         number = self.numbers(distinct)
         known = np.flatnonzero(number >= 0)
         count, before = np.zeros(len(distinct)), np.zeros(len(distinct))
@@ -346,8 +348,8 @@ def _trained(docs: DataFrame, order: int) -> Model:
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                keys, counts = np.unique(tokens(part.column("text"))[0], return_counts=True)
-                yield _blobs(keys, counts, *shard_bounds(keys, bits))
+                keys, index, _ = tokens(part.column("text"))
+                yield _blobs(keys, np.bincount(index, minlength=len(keys)), *shard_bounds(keys, bits))
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, parts in _merged(batches, by_key):
@@ -378,8 +380,7 @@ def _trained(docs: DataFrame, order: int) -> Model:
 
     def paired(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(numbers, keys of the pairs that end there, where texts begin) of all tokens."""
-        keys, first = tokens(column)
-        distinct, index = np.unique(keys, return_inverse=True)
+        distinct, index, first = tokens(column)
         number = model.numbers(distinct)[index].astype(np.uint64)
         previous = np.append(START, number[:-1])
         previous[first[:-1]] = START

@@ -119,13 +119,19 @@ def distinct(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """XXH64 of each word, computed once for each distinct word of the column."""
+def distinct_word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, index): XXH64 of each distinct word, and for each word the index of its hash."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     values, index = distinct(pieces(raw, starts, ends))
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(v, seed) for v in values), np.uint64, len(values))[index]
+    return np.fromiter((digest(v, seed) for v in values), np.uint64, len(values)), index
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each word, computed once for each distinct word of the column."""
+    hashes, index = distinct_word_hashes(raw, starts, ends, seed)
+    return hashes[index]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
