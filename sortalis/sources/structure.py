@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sortalis.sources.shared import dealt
+
 
 @dataclass(frozen=True)
 class Product:
@@ -214,7 +216,7 @@ class Structure:
         """Takes a relation's tuples from columns; ``distinct`` says whether repeated tuples must go."""
         symbol = self.signature.relations[name]
         out = frame.select(*[F.col(c).cast("long").alias(n) for c, n in zip(columns, symbol.columns, strict=True)])
-        self.relations[name] = out.distinct() if distinct else out
+        self.relations[name] = dealt(out, symbol.columns).distinct() if distinct else out
         return self
 
     def add(self, sort: str, elements: Sequence[int]) -> Structure:

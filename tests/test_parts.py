@@ -22,6 +22,10 @@ def test_tensor_sum_all_is_grouped_in_parts(spark, sf_dir, monkeypatch):
     grouped_in_parts(spark, sf_dir, monkeypatch, "tensor_sum_all")
 
 
+def test_scan_relation_is_grouped_in_parts(spark, sf_dir, monkeypatch):
+    grouped_in_parts(spark, sf_dir, monkeypatch, "scan_relation")
+
+
 def test_a_sum_of_many_is_grouped_once(spark):
     x = tensor.Tensor(spark.range(5).selectExpr("id i0", "id + 1 v"), 1)
     assert str(tensor.sum_all([x] * 4).frame._jdf.queryExecution().optimizedPlan()).count("Aggregate") == 1
