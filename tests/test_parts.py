@@ -26,6 +26,10 @@ def test_tensor_sum_is_grouped_in_parts(spark, sf_dir, monkeypatch):
     grouped_in_parts(spark, sf_dir, monkeypatch, "tensor_sum")
 
 
+def test_tensor_hadamard_is_grouped_in_parts(spark, sf_dir, monkeypatch):
+    grouped_in_parts(spark, sf_dir, monkeypatch, "tensor_hadamard")
+
+
 def test_scan_relation_is_grouped_in_parts(spark, sf_dir, monkeypatch):
     grouped_in_parts(spark, sf_dir, monkeypatch, "scan_relation")
 
